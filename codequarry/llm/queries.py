@@ -11,6 +11,24 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import length_histogram
+
+    return length_histogram(_read(spark, sf_dir, "documents"))
+
+
+def op3_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import token_files
+
+    return token_files(_read(spark, sf_dir, "documents"))
+
+
+def op4_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wumanber import contamination
+
+    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -18,6 +36,9 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
+    "op3_repair_token_files": op3_repair_token_files,
+    "op4_wu_manber": op4_wu_manber,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
 }
 
