@@ -35,11 +35,28 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op7_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_read(spark, sf_dir, "documents"))
+
+
+def op10_chat_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import chat_digest
+
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return chat_digest(turns.unionByName(extra))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_repair_token_files": op3_repair_token_files,
     "op4_wu_manber": op4_wu_manber,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_compression_langid": op7_compression_langid,
+    "op10_chat_prefix_target": op10_chat_prefix_target,
 }
 
 ORACLE_SQL: dict[str, str] = {}
