@@ -50,12 +50,26 @@ def op10_chat_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(turns.unionByName(extra))
 
 
+def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixture
+
+    return mixture(_read(spark, sf_dir, "documents"))
+
+
+def op8_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import neighbours
+
+    return neighbours(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_repair_token_files": op3_repair_token_files,
     "op4_wu_manber": op4_wu_manber,
+    "op5_temperature_mixing": op5_temperature_mixing,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_compression_langid": op7_compression_langid,
+    "op8_adaptive_dimension_scan": op8_adaptive_dimension_scan,
     "op10_chat_prefix_target": op10_chat_prefix_target,
 }
 
