@@ -11,6 +11,16 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source is its host; its language within the source is the path."""
+    from pyspark.sql import functions as F
+
+    from .quality import score, train
+
+    docs = _read(spark, sf_dir, "documents")
+    return score(docs, train(docs, _read(spark, sf_dir, "labels")), F.col("source"), F.col("lang"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import length_histogram
 
@@ -62,7 +72,14 @@ def op8_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(_read(spark, sf_dir, "embeddings"))
 
 
+def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import example_findings, scan, train
+
+    return scan(_read(spark, sf_dir, "documents"), train(example_findings(spark)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hierarchical_quality": op1_hierarchical_quality,
     "op2_token_counts": op2_token_counts,
     "op3_repair_token_files": op3_repair_token_files,
     "op4_wu_manber": op4_wu_manber,
@@ -70,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_compression_langid": op7_compression_langid,
     "op8_adaptive_dimension_scan": op8_adaptive_dimension_scan,
+    "op9_secret_forest": op9_secret_forest,
     "op10_chat_prefix_target": op10_chat_prefix_target,
 }
 
