@@ -1,0 +1,81 @@
+"""Command line: ``python -m codequarry.cli index PATH``, ``ask QUESTION``, ``reindex PATH``, ``status``, ``eval QA.json``."""
+
+from __future__ import annotations
+
+import argparse
+import logging
+import sys
+from dataclasses import replace
+
+from . import __version__, config
+
+
+def configure_logging(level: str = "INFO", log_file: str = "") -> None:
+    """Log to the terminal, and to a file if named; the libraries' chatter is turned down."""
+    handlers: list[logging.Handler] = [logging.StreamHandler()]
+    if log_file:
+        handlers.append(logging.FileHandler(log_file))
+    logging.basicConfig(level=level, format="%(asctime)s %(levelname)s %(name)s: %(message)s", handlers=handlers, force=True)
+    for noisy in ("py4j", "urllib3"):
+        logging.getLogger(noisy).setLevel(logging.WARNING)
+
+
+def main(argv: list[str] | None = None, spark=None, out=print) -> int:
+    """Exit codes: 1 if the source or index can't be used, 2 if some files failed, else 0."""
+    parser = argparse.ArgumentParser(prog="codequarry")
+    parser.add_argument("--version", action="version", version=__version__)
+    sub = parser.add_subparsers(dest="command", required=True)
+    for name in ("index", "reindex"):
+        p = sub.add_parser(name)
+        p.add_argument("source")
+        if name == "index":
+            p.add_argument("--force", action="store_true", help="index everything anew")
+    p = sub.add_parser("ask")
+    p.add_argument("question")
+    p.add_argument("--top-k", type=int)
+    p.add_argument("--no-graph", action="store_true")
+    sub.add_parser("status")
+    p = sub.add_parser("eval")
+    p.add_argument("dataset")
+    p.add_argument("--report")
+    args = parser.parse_args(argv)
+    settings = config.load()
+    configure_logging(settings.log_level, settings.log_file)
+    if spark is None:
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.appName("codequarry").getOrCreate()
+    from .plans.engine import Engine, read_qa, report
+
+    engine = Engine(spark, replace(settings))
+    if args.command in ("index", "reindex"):
+        try:
+            stats = engine.index(args.source, not getattr(args, "force", False))
+        except (ValueError, RuntimeError) as e:
+            print(e, file=sys.stderr)
+            return 1
+        out(stats.summary())
+        for e in stats.errors[:10]:
+            out(f"  {e}")
+        return 2 if stats.files_failed else 0
+    state = engine.status()
+    if args.command == "status":
+        out(f"{state['files']} files, {state['chunks']} chunks, last indexed {state['last_indexed'] or 'never'}")
+        return 0
+    if not state["indexed"]:
+        print("nothing is indexed yet", file=sys.stderr)
+        return 1
+    if args.command == "ask":
+        out(engine.ask(args.question, args.top_k, 0 if args.no_graph else None).formatted())
+        return 0
+    rows, summary = engine.evaluate(read_qa(spark, args.dataset))
+    text = report(rows, summary)
+    if args.report:
+        with open(args.report, "w") as f:
+            f.write(text)
+    out(text)
+    return 0
+
+
+if __name__ == "__main__":
+    sys.exit(main())

@@ -19,6 +19,7 @@ class Settings:
     llm_model: str = "synthesizer"
     metric: str = "cosine"
     store_path: str = ".codequarry/index"
+    store_buckets: int = 64
     chunk_max_tokens: int = 512
     chunk_overlap_tokens: int = 64
     languages: list[str] = field(default_factory=lambda: ["python", "javascript", "typescript"])
@@ -35,7 +36,7 @@ class Settings:
         self.log_level = self.log_level.upper()
         if self.log_level not in LEVELS:
             raise ValueError(f"log_level must be one of {LEVELS}")
-        for name, least in (("chunk_max_tokens", 1), ("chunk_overlap_tokens", 0), ("top_k", 1), ("graph_expansion_depth", 0), ("context_token_budget", 1), ("embedding_dim", 1)):
+        for name, least in (("chunk_max_tokens", 1), ("chunk_overlap_tokens", 0), ("top_k", 1), ("graph_expansion_depth", 0), ("context_token_budget", 1), ("embedding_dim", 1), ("store_buckets", 1)):
             if getattr(self, name) < least:
                 raise ValueError(f"{name} must be at least {least}")
         if self.metric not in ("cosine", "l2"):

@@ -207,7 +207,8 @@ def _jsdoc(lines: list[str], start_line: int) -> str | None:
     return "\n".join(kept).strip() or None
 
 
-def parse_javascript(source: str) -> Parsed:
+def parse_javascript(source: str, typed: bool = False) -> Parsed:
+    """``typed``: parameter lists may be followed by return types, as in TypeScript."""
     tokens, understood = _tokens(source)
     pair, matched = _pairs(tokens)
     text = [t[1] for t in tokens]
@@ -222,10 +223,20 @@ def parse_javascript(source: str) -> Parsed:
 
     def block_after(k: int) -> int | None:
         """The closing token of the body that follows a parameter list ending before token k; a return type may stand between."""
-        depth = k
-        while depth < n and text[depth] not in ("{", ";", "=>", ")", "}", ","):
-            depth = pair.get(depth, depth) + 1
-        return pair.get(depth) if depth < n and text[depth] == "{" else None
+        angles = 0
+        while k < n and text[k] not in ("{", ";", "=>", ")", "}") and (angles or text[k] != ","):
+            angles = max(0, angles + (text[k] == "<") - (text[k] == ">"))
+            k = pair.get(k, k) + 1
+        return pair.get(k) if k < n and text[k] == "{" else None
+
+    def before_return_type(k: int) -> int:
+        """The token before a return type that ends at token k, or k if there is none."""
+        for j in range(k, max(0, k - 60), -1):
+            if text[j] == ":":
+                return j - 1 if text[j - 1] == ")" else k
+            if kinds[j] == "sign" and text[j] not in ("<", ">", "[", "]", "|", "&", ".", ","):
+                return k
+        return k
 
     def expression_end(k: int) -> int:
         """The last token of the expression that begins at token k."""
@@ -268,11 +279,12 @@ def parse_javascript(source: str) -> Parsed:
             kind = ("generator_function_declaration" if star else "function_declaration") if stands and name else "function_expression"
             spans.append((first, end, kind, name))
         elif text[k] == "=>" and k:
-            first, name = k - 1, None
-            if text[k - 1] == ")" and k - 1 in opening:
-                first = opening[k - 1]
-            elif kinds[k - 1] == "word":
-                name = text[k - 1]
+            head = before_return_type(k - 1) if typed else k - 1
+            first, name = head, None
+            if text[head] == ")" and head in opening:
+                first = opening[head]
+            elif kinds[head] == "word":
+                name = text[head]
             if first and text[first - 1] == "async":
                 first -= 1
             if k + 1 < n:
@@ -322,8 +334,12 @@ def parse_javascript(source: str) -> Parsed:
     return Parsed(found, imports, not (understood and matched), len(lines))
 
 
+def parse_typescript(source: str) -> Parsed:
+    return parse_javascript(source, typed=True)
+
+
 #: Extractors by language; register a function from text to Parsed to add one.
-EXTRACTORS: dict[str, Callable[[str], Parsed]] = {"python": parse_python, "javascript": parse_javascript, "js": parse_javascript, "typescript": parse_javascript, "tsx": parse_javascript}
+EXTRACTORS: dict[str, Callable[[str], Parsed]] = {"python": parse_python, "javascript": parse_javascript, "js": parse_javascript, "typescript": parse_typescript, "tsx": parse_typescript}
 
 
 def register_extractor(language: str, function: Callable[[str], Parsed]) -> None:

@@ -493,3 +493,68 @@ def recall_per_row(spark, d):
 @query(f"SELECT count(*) AS n, round(avg(retrieval_recall), 9) AS mean_retrieval_recall, round(avg(keyword_recall), 9) AS mean_keyword_recall FROM ({_EVAL})")
 def eval_summary(spark, d):
     return _evaluated(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("retrieval_recall"), 9).alias("mean_retrieval_recall"), F.round(F.avg("keyword_recall"), 9).alias("mean_keyword_recall"))
+
+
+# ---------------------------------------------------------------- code; SQL has no parser, so these have none
+
+CODE = [
+    ("shop/cart.py", "python", 'import math\nfrom shop import prices\n\n\nclass Cart:\n    """Lines of one order."""\n\n    def __init__(self):\n        self.lines = []\n\n    def add(self, item, n=1):\n        """Put n of an item into the cart."""\n        self.lines.append((item, check(n)))\n\n    def total(self):\n        return math.fsum(line_price(i, n) for i, n in self.lines)\n\n\ndef check(n):\n    if n < 1:\n        raise ValueError("none")\n    return n\n\n\ndef line_price(item, n):\n    def rounded(x):\n        return round(x, 2)\n\n    return rounded(prices.of(item) * n)\n'),
+    ("shop/prices.py", "python", 'PRICES = {}\n\n\ndef of(item):\n    """Price of an item."""\n    return PRICES.get(item, 0.0)\n'),
+    ("web/view.js", "javascript", "import { send } from './bus';\n\n/**\n * Shows a cart.\n */\nexport function show(cart) {\n  return cart.lines.map(l => row(l)).join('');\n}\n\nfunction row(line) {\n  return `<li>${line.name}</li>`;\n}\n\nclass View {\n  constructor(el) { this.el = el; }\n  draw(cart) { this.el.innerHTML = show(cart); send('drawn'); }\n}\n"),
+    ("web/bus.ts", "typescript", "export const send = (name: string): void => { deliver(name); };\n\nfunction deliver(name: string): void {\n  console.log(name);\n}\n"),
+]
+
+
+def _code_files(spark):
+    return spark.createDataFrame([(p, lang, bytearray(text.encode())) for p, lang, text in CODE], "file_path string, language string, content binary")
+
+
+def _code(spark):
+    from ..operators.parsing import parse_files
+
+    return parse_files(_code_files(spark))
+
+
+@query()
+def chunk_python(spark, d):
+    return _code(spark).filter("language = 'python'").drop("calls", "nested", "error")
+
+
+@query()
+def chunk_js(spark, d):
+    return _code(spark).filter("language <> 'python'").drop("calls", "nested", "error")
+
+
+@query()
+def call_graph_code(spark, d):
+    return graph.build(_code(spark), add_external=True)[1]
+
+
+@query()
+def ask_end_to_end(spark, d):
+    """Contexts for two questions over the fixture sources: enrich, embed, nearest chunks, neighbours, selection."""
+    chunks = graph.with_node_id(_code(spark)).withColumn("citation", S.citation("file_path", "start_line", "end_line", "qualified_name"))
+    text = S.enriched_text("citation", "language", "qualified_name", S.doc_summary("docstring"), "imports", "raw_code")
+    chunks = chunks.withColumn("enriched_text", text).withColumn("embedding", S.hash_embedding("enriched_text", 64)).select("chunk_id", "node_id", "file_path", "start_line", "citation", "enriched_text", "embedding")
+    asked = spark.createDataFrame([(1, "How does the cart compute its total?"), (2, "Where is a message delivered?")], "query_id int, question string")
+    found = retrieval.top_k(chunks, asked.select("query_id", S.hash_embedding("question", 64).alias("query_vector")), 3).withColumn("source", F.lit("vector_search"))
+    _, edges = graph.build(_code(spark))
+    reach = graph.neighbors(edges, found.select(F.col("node_id").alias("seed")).distinct(), 1)
+    more = graph.expand(found.select("query_id", "node_id", "rank", "score"), reach, fixed.EXPANSION_DECAY).join(chunks.drop("embedding"), "node_id").withColumns({"rank": F.lit(1 << 20), "source": F.lit("graph_expansion")})
+    return retrieval.context(retrieval.dedup_best(found.unionByName(more.select(*found.columns)), ["query_id", "chunk_id"]), 2000).drop("chosen")
+
+
+@query()
+def answers_offline(spark, d):
+    """The offline answer and its keyword recall for each context of ``ask_end_to_end``."""
+    import pandas as pd
+
+    from .answers import synthesize
+
+    def answer(batches):
+        for b in batches:
+            yield pd.DataFrame({"query_id": b["query_id"], "answer": [synthesize(q, c) for q, c in zip(b["question"], b["context_text"], strict=True)]})
+
+    asked = spark.createDataFrame([(1, "How does the cart compute its total?"), (2, "Where is a message delivered?")], "query_id int, question string")
+    told = ask_end_to_end(spark, d).join(asked, "query_id").select("query_id", "question", "context_text").mapInPandas(answer, "query_id int, answer string")
+    return told.withColumn("keyword_recall", S.keyword_recall(F.array(F.lit("file"), F.lit("code")), "answer"))
