@@ -251,7 +251,7 @@ def context_text(spark, d):
     f"WITH r AS (SELECT * FROM {_RANKED}), l AS (SELECT vec_id, label, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings), "
     "e AS (SELECT vec_id AS a, nxt AS b FROM l WHERE nxt IS NOT NULL UNION SELECT nxt, vec_id FROM l WHERE nxt IS NOT NULL), "
     "x AS (SELECT r.query_id, e.b AS vec_id, r.rank, r.score FROM r JOIN e ON e.a = r.vec_id WHERE (r.query_id, e.b) NOT IN (SELECT (query_id, vec_id) FROM r)), "
-    "n AS (SELECT query_id, vec_id, round(score * 0.7, 6) AS score, 'graph_expansion' AS source, row_number() OVER (PARTITION BY query_id, vec_id ORDER BY rank) AS k FROM x) "
+    "n AS (SELECT query_id, vec_id, round(score * 0.7, 7) AS score, 'graph_expansion' AS source, row_number() OVER (PARTITION BY query_id, vec_id ORDER BY rank) AS k FROM x) "
     "SELECT query_id, vec_id, score, 'vector_search' AS source FROM r UNION ALL SELECT query_id, vec_id, score, source FROM n WHERE k = 1"
 )
 def graph_expand(spark, d):
@@ -259,7 +259,7 @@ def graph_expand(spark, d):
     edges = e.select(F.col("vec_id").cast("string").alias("source"), F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id")).cast("string").alias("target"), F.lit("calls").alias("edge_type")).filter("target is not null")
     ranked = _batch(spark, d).withColumn("node_id", F.col("vec_id").cast("string")).select("query_id", "node_id", "rank", "score")
     reach = graph.neighbors(edges, ranked.select(F.col("node_id").alias("seed")).distinct(), 1)
-    more = graph.expand(ranked, reach, fixed.EXPANSION_DECAY).select("query_id", "node_id", F.round("score", 6).alias("score"), F.lit("graph_expansion").alias("source"))
+    more = graph.expand(ranked, reach, fixed.EXPANSION_DECAY).select("query_id", "node_id", F.round("score", 7).alias("score"), F.lit("graph_expansion").alias("source"))
     all_ = ranked.select("query_id", "node_id", "score", F.lit("vector_search").alias("source")).unionByName(more)
     return all_.select("query_id", F.col("node_id").cast("long").alias("vec_id"), "score", "source")
 
