@@ -29,6 +29,9 @@ class Settings:
     reranking_enabled: bool = False
     log_level: str = "INFO"
     log_file: str = ""
+    openai_api_key: str = ""
+    anthropic_api_key: str = ""
+    ollama_base_url: str = "http://localhost:11434"
 
     def __post_init__(self) -> None:
         if isinstance(self.languages, str):
@@ -43,6 +46,15 @@ class Settings:
             raise ValueError("metric must be cosine or l2")
 
 
+    def api_key(self, provider: str | None = None) -> str:
+        """The key of a provider; empty for those that need none."""
+        return {"openai": self.openai_api_key, "anthropic": self.anthropic_api_key}.get(provider or self.llm_provider, "")
+
+
+#: Settings whose variables are the ones other tools use, too, and have no prefix.
+SHARED = ("openai_api_key", "anthropic_api_key", "ollama_base_url")
+
+
 def load(env_file: str = ".env", environ: dict[str, str] | None = None) -> Settings:
     """Settings with the values of the environment, and below them those of the file, under the prefix."""
     found: dict[str, str] = {}
@@ -54,7 +66,7 @@ def load(env_file: str = ".env", environ: dict[str, str] | None = None) -> Setti
     found |= {k.upper(): v for k, v in (os.environ if environ is None else environ).items()}
     given = {}
     for f in fields(Settings):
-        if (raw := found.get(PREFIX + f.name.upper())) is not None:
+        if (raw := found.get(("" if f.name in SHARED else PREFIX) + f.name.upper())) is not None:
             kind = type(getattr(Settings, f.name, ""))
             given[f.name] = raw if f.name == "languages" else raw.lower() in ("1", "true", "yes") if kind is bool else kind(raw)
     return Settings(**given)

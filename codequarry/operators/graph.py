@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import scratch
+from .. import schemas, scratch
 from ..functions import scalars as S
 
 
@@ -116,3 +116,14 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     out = inside.groupBy(F.col("source").alias("node_id")).agg(text("target").alias("calls"))
     back = inside.groupBy(F.col("target").alias("node_id")).agg(text("source").alias("called_by"))
     return nodes.filter("node_type <> 'external'").select("node_id").join(out, "node_id", "left").join(back, "node_id", "left").fillna("(none)").orderBy("node_id")
+
+
+def write_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """The graph as JSON lines: nodes and links, each with all its fields."""
+    nodes.write.mode("overwrite").json(f"{path}/nodes")
+    edges.write.mode("overwrite").json(f"{path}/links")
+
+
+def read_json(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) as ``write_json`` left them."""
+    return spark.read.schema(schemas.NODES).json(f"{path}/nodes"), spark.read.schema(schemas.EDGES).json(f"{path}/links")

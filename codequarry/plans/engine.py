@@ -62,7 +62,9 @@ class Engine:
         self.manifest = ChunkStore(spark, f"{self.root}/manifest", schemas.MANIFEST, key="file_path", buckets=self.settings.store_buckets)
         self.embed = embed or (lambda text: S.hash_embedding(text, self.settings.embedding_dim))
         self.docgen, self.rerank = docgen, rerank or (retrieval.rerank_lexical if self.settings.reranking_enabled else None)
-        self.llm = llm or answers.client(self.settings.llm_provider, self.settings.llm_model)
+        self.summaries = ChunkStore(spark, f"{self.root}/summaries", "chunk_id string, file_path string, summary string", buckets=self.settings.store_buckets)
+        s = self.settings
+        self.llm = llm or answers.client(s.llm_provider, s.llm_model, s.api_key(), f"{s.ollama_base_url}/v1" if s.llm_provider == "ollama" else None)
         self.jobs: dict[str, dict] = {}
 
     # ------------------------------------------------------------ writing
@@ -101,12 +103,20 @@ class Engine:
 
     def enrich(self, chunks: DataFrame) -> DataFrame:
         """Chunks with names, citation, summary, the text that is embedded, and its vector."""
-        rows = graph.with_node_id(chunks).withColumn("citation", S.citation("file_path", "start_line", "end_line", "qualified_name"))
-        summary = S.doc_summary("docstring")
-        rows = rows.withColumn("summary", F.coalesce(summary, self.docgen(rows)) if self.docgen else summary)
+        rows = graph.with_node_id(chunks).withColumn("citation", S.citation("file_path", "start_line", "end_line", "qualified_name")).withColumn("summary", S.doc_summary("docstring"))
+        if self.docgen:
+            self._document(rows.filter("summary is null"))
+            kept = self.summaries.read().select("chunk_id", F.col("summary").alias("_s"))
+            rows = rows.join(kept, "chunk_id", "left").withColumn("summary", F.coalesce("summary", "_s")).drop("_s")
         rows = rows.withColumn("enriched_text", S.enriched_text("citation", "language", "qualified_name", "summary", "imports", "raw_code"))
         return rows.withColumn("embedding", self.embed(F.col("enriched_text"))).select(*self.store.schema.fieldNames())
 
+    def _document(self, chunks: DataFrame) -> None:
+        """Summaries from ``docgen`` for chunks that have neither a docstring nor a kept summary; they are kept for later runs. A null summary is asked for again."""
+        asked = chunks.join(self.summaries.read().select("chunk_id"), "chunk_id", "left_anti")
+        told = asked.withColumn("summary", self.docgen(asked)).filter("summary is not null")
+        self.summaries.upsert(told.select("chunk_id", "file_path", "summary"))
+
     def _write_graph(self, work: str) -> None:
         nodes, edges = graph.build(self.store.read())
         scratch.stored(nodes, f"{work}/nodes").write.mode("overwrite").parquet(f"{self.root}/nodes")

@@ -126,6 +126,17 @@ def test_index_ask_update(spark, tree, tmp_path):
     assert e.progress(job)["status"] == "done"
 
 
+def test_summaries_are_kept(spark, tree, tmp_path):
+    from pyspark.sql import functions as F
+
+    for told, want in (("made up", "made up"), ("other", "made up")):
+        e = Engine(spark, Settings(store_path=str(tmp_path / "store"), embedding_dim=8, store_buckets=2), docgen=lambda df, told=told: F.lit(told))
+        e.index(str(tree), incremental_run=False)
+        got = {r["function_name"]: r["summary"] for r in e.store.read().collect()}
+        assert got["shout"] == want and got["greet"] == "Say hello to someone."
+        assert e.store.get_by_id(e.store.read().first()["chunk_id"]).filter("enriched_text like '%[Summary]: %'").count() == 1
+
+
 def test_evaluate(spark, tree, tmp_path):
     e = engine_for(spark, tmp_path, top_k=20)
     e.index(str(tree))

@@ -119,11 +119,15 @@ def test_graph(spark):
     assert got == {("b", 0.63)}
 
 
-def test_external_nodes(spark):
+def test_external_nodes(spark, tmp_path):
     rows = parse_files(spark.createDataFrame([("a.py", "python", bytearray(b"def f():\n    print(g())\n\ndef g():\n    f()\n"))], "file_path string, language string, content binary"))
     nodes, edges = graph.build(rows, add_external=True)
     assert {(r["source"], r["target"], r["is_resolved"]) for r in edges.collect()} == {("a.py::f", "a.py::g", True), ("a.py::g", "a.py::f", True), ("a.py::f", "external::print", False)}
     assert nodes.filter("node_type = 'external'").count() == 1
+    graph.write_json(nodes, edges, str(tmp_path / "g"))
+    again = graph.read_json(spark, str(tmp_path / "g"))
+    for df, back in zip((nodes, edges), again):
+        assert sorted(map(repr, df.collect())) == sorted(repr(r) for r in back.select(*df.columns).collect())
 
 
 def test_select_within(spark):
@@ -152,6 +156,8 @@ def test_store(spark, tmp_path):
 def test_config_and_source(tmp_path):
     s = config.load(environ={"CODEQUARRY_TOP_K": "3", "CODEQUARRY_LANGUAGES": "Python, Go", "CODEQUARRY_LOG_LEVEL": "debug", "CODEQUARRY_RERANKING_ENABLED": "true"}, env_file=str(tmp_path / "none"))
     assert (s.top_k, s.languages, s.log_level, s.reranking_enabled) == (3, ["python", "go"], "DEBUG", True)
+    keys = config.load(environ={"OPENAI_API_KEY": "k", "CODEQUARRY_LLM_PROVIDER": "openai"}, env_file=str(tmp_path / "none"))
+    assert keys.api_key() == "k" and keys.api_key("ollama") == ""
     for bad in ({"top_k": 0}, {"log_level": "loud"}, {"metric": "dot"}):
         with pytest.raises(ValueError):
             config.Settings(**bad)
