@@ -47,7 +47,7 @@ def normal(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     form = np.empty(len(data) + 1, np.uint8)
     form[0] = _BLANK
     np.take(_FORM, data, out=form[1:])
-    form[bounds[1:] - 1] = _BETWEEN
+    form[bounds[1:] - 1] = _BETWEEN  # one before the ending's last byte; the form begins with a blank more
     keep = np.ones(len(form), bool)
     keep[1:] = (form[1:] != _BLANK) | (form[:-1] != _BLANK)
     text = form[keep]
@@ -188,9 +188,7 @@ def _searching(broadcast, extra: int, schema: pa.Schema):
             for batch in batches:
                 text_at, spans_at, items_at = extra, extra + 2, extra + 3
                 for first, end, data, bounds in K.text_slices(batch.column(text_at), _ENDING):
-                    bounds_ = bounds.copy()
-                    bounds_[1:] -= 1  # the mark, not the blank after it, ends a text
-                    text, marks = normal(data, bounds_)
+                    text, marks = normal(data, bounds)
                     word = np.flatnonzero((text[:-1] == _BLANK) & (text[1:] != _BETWEEN))  # the blank before each word
                     edges = np.concatenate([[0], np.searchsorted(word, marks)])
                     start, which = matcher.find(text) if matcher else (np.zeros(0, np.int64),) * 2
