@@ -138,7 +138,7 @@ def write_tokens(docs: DataFrame, target: str, path: str | None = None, end_id:
     """Write the ids of every whole text, ``end_id`` after each, in ascending order of id.
 
     A null text is empty (its only id is ``end_id``). Rows without an id come
-    first; rows that repeat an id are ordered by their text. Other columns are
+    first; rows that repeat an id are ordered by a hash of their text. Other columns are
     ignored. An empty table gives an empty table of shards. Documents are dealt
     to tasks by ranges of (id, hash of the text), so that neither a hot id nor
     the lack of ids puts many into one task.
