@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import kernels as K
+
 UNKNOWN = "und"
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 1 << 10
@@ -117,6 +119,7 @@ def classify(docs: DataFrame, content: dict[str, tuple[int, bytes]], text_col: s
                 margins.append(margin)
                 rejected.append(lead <= 0 or margin < min_margin)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(rejected, pa.bool_())], names=[*names, *fields])
+            K.give_back()
 
     schema = StructType(list(docs.schema.fields))
     for name, kind in zip(fields, ("string", "double", "double", "boolean"), strict=True):

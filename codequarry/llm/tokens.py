@@ -26,7 +26,7 @@ from .common import scratch, stored
 _LETTER, _NUMBER, _SPACE, _OTHER, _END, _RARE = range(6)
 _KNOWN = 0x3000
 _SLOTS = 1 << 20
-_FLAT = 1 << 24
+_FLAT = 1 << 22
 _LONG_TEXT = 4 << 20
 
 
@@ -117,7 +117,7 @@ class Encoder:
         self.key = np.zeros(_SLOTS, np.uint64)
         self.place = np.zeros(_SLOTS, np.int64)
         self.size = np.zeros(_SLOTS, np.int32)
-        self.flat = np.zeros(1 << 16, np.int32)
+        self.flat = np.zeros(_FLAT + (1 << 20), np.int32)
         self.used = 0
 
     def _whole(self, text: str) -> np.ndarray:
