@@ -103,7 +103,7 @@ class Searcher:
             x = (x << np.uint64(8)) | heads[np.arange(len(ends)), ends - 1 - j].astype(np.uint64)
         return x
 
-    def find(self, text: np.ndarray, blocks: np.ndarray, stretch: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, text: np.ndarray, blocks: np.ndarray, stretch: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """(starts, pattern numbers) of all occurrences; ``blocks`` has the text's 4-byte block that begins at each place."""
         if len(text) < self.m:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
