@@ -18,6 +18,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/codequarry-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of ``rows`` rows unless the session says otherwise: its default of 10,000 is much memory for whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write a table and read it again, which cuts its lineage and survives lost executors."""
     df.write.mode("overwrite").parquet(path)

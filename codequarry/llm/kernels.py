@@ -8,7 +8,7 @@ state between rows.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,18 @@ def _trim_function():
 _TRIM = _trim_function()
 
 
+#: What operators keep in a Python worker from task to task: for each operator, how to let go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def enter(operator: str) -> None:
+    """Called as an operator's function begins in a worker: what other operators have kept there goes."""
+    for name, drop in KEPT.items():
+        if name != operator:
+            drop()
+    give_back()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit values."""
     x = x ^ (x >> _U(32))

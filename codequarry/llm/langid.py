@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import kernels as K
+from .common import bounded_batches
 
 UNKNOWN = "und"
 DICTIONARY_BYTES = 64 << 10
@@ -96,11 +97,13 @@ def classify(docs: DataFrame, content: dict[str, tuple[int, bytes]], text_col: s
     """
     fields = ("lang_pred", "score", "lang_margin", "lang_rejected")
     docs = docs.drop(*fields)
+    bounded_batches(docs.sparkSession)
     names = docs.columns
     at = names.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(content)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.enter("language")
         classifier = Classifier(shared.value)
         n = len(classifier.langs)
         for batch in batches:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import scratch, sized_join, stored
+from .common import bounded_batches, scratch, sized_join, stored
 
 CHUNKS, PER_CHUNK = 10, 4
 MOST_DISTANCE = 2 * CHUNKS - 1
@@ -64,6 +64,7 @@ def _set_names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _sketcher(width: int, schema: pa.Schema):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.enter("minhash")
         n = CHUNKS * PER_CHUNK
         factor = (K.random64(n, 5) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         shift = (K.random64(n, 6) >> np.uint64(32)).astype(np.uint32)
@@ -87,6 +88,7 @@ def _sketcher(width: int, schema: pa.Schema):
 
 def _setter(width: int, schema: pa.Schema):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.enter("minhash")
         with np.errstate(over="ignore"):
             for batch in batches:
                 for start, end, data, bounds in K.text_slices(batch.column(1)):
@@ -219,6 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component is null and it is kept. Other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = scratch(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), *((s, pa.int64()) for s in _SIGNATURE)]

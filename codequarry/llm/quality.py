@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import scratch, sized_join, stored
+from .common import bounded_batches, scratch, sized_join, stored
 
 MOST_LABELLED = 20_000
 _KINDS = {"upper": range(65, 91), "digit": range(48, 58), "line": [10], "pipe": [0x7C], "stop": [0x2E, 0x3F], "comma": [0x2C], "bang": [0x21], "mark": [0x23, 0x24, 0x25, 0x26, 0x2A, 0x40, 0x5E, 0x7E, 0x3C, 0x3E, 0x7B, 0x7D]}
@@ -47,7 +47,7 @@ def features(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     same[1:-1] = np.cumsum(words[1:] == words[:-1]) if len(words) > 1 else same[1:-1]
     if len(words) > 1:
         same[-1] = same[-2]
-    again = same[np.maximum(first[1:], 1) - 1 + 0] - same[np.minimum(first[:-1], len(words) - 1 if len(words) else 0)] if len(words) else np.zeros(n)
+    again = same[np.maximum(first[1:], 1) - 1] - same[np.minimum(first[:-1], len(words) - 1 if len(words) else 0)] if len(words) else np.zeros(n)
     distinct = np.array([len(np.unique(words[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], float)
     some = np.maximum(n_words, 1)
     shares = np.log1p(200 * counts / size[:, None])
@@ -78,8 +78,10 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> t
 
 def _map_features(docs: DataFrame, carry: list[str], kinds: str, make, arrow: list) -> DataFrame:
     schema = pa.schema(arrow)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.enter("quality")
         with np.errstate(over="ignore"):
             for batch in batches:
                 for first, end, data, bounds in K.text_slices(batch.column(len(carry))):

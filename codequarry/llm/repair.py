@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import partitions, scratch
+from .common import bounded_batches, partitions, scratch
 from .tokens import Encoder, tokenizer_path
 
 SHARD_TOKENS = 1 << 20
@@ -145,6 +145,7 @@ def write_tokens(docs: DataFrame, target: str, path: str | None = None, end_id:
     """
     path = path or tokenizer_path()
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text")).repartitionByRange(partitions(spark), "doc_id", "mark").sortWithinPartitions("doc_id", "mark")
 
@@ -152,6 +153,7 @@ def write_tokens(docs: DataFrame, target: str, path: str | None = None, end_id:
         from pyspark import TaskContext
 
         part, shard, start = TaskContext.get().partitionId(), 0, 0
+        K.enter("tokens")
         encoder = Encoder.of(path)
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         waiting = 0

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import scratch, stored
+from .common import bounded_batches, scratch, stored
 
 _LETTER, _NUMBER, _SPACE, _OTHER, _END, _RARE = range(6)
 _KNOWN = 0x3000
@@ -201,6 +201,9 @@ class Encoder:
             yield first, end, np.concatenate([p[0] for p in parts]), np.array([sum(int(p[1][0]) for p in parts)])
 
 
+K.KEPT["tokens"] = Encoder._all.clear
+
+
 def _cuts(data: np.ndarray, every: int = K.SLICE_BYTES) -> list[tuple[int, int]]:
     """Cut one very long text before blanks that stand between ASCII letters, where a piece starts whatever else the text holds."""
     found, at = [0], every
@@ -218,9 +221,11 @@ def _cuts(data: np.ndarray, every: int = K.SLICE_BYTES) -> list[tuple[int, int]]
 def token_counts(docs: DataFrame, path: str | None = None, text_col: str = "text", out: str = "n_tokens") -> DataFrame:
     """docs with the exact number of tokens of each whole text (null: 0) as a further long column; a column of that name is replaced."""
     path = path or tokenizer_path()
+    bounded_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (text_col, out)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.enter("tokens")
         encoder = Encoder.of(path)
         with np.errstate(over="ignore"):
             for batch in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import scratch, stored
+from .common import bounded_batches, scratch, stored
 
 WINDOW = 10
 _BLANK, _BETWEEN = 0x20, 0xFF  # 0xFF occurs in no UTF-8 text
@@ -184,6 +184,7 @@ class Matcher:
 def _searching(broadcast, extra: int, schema: pa.Schema):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
+            K.enter("benchmark")
             matcher = Matcher(broadcast.value) if broadcast.value else None
             for batch in batches:
                 text_at, spans_at, items_at = extra, extra + 2, extra + 3
@@ -247,6 +248,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """
     carry = [id_col] if carry is None else [c for c in carry if c != text_col]
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).filter("i is not null and t is not null").distinct()
     state = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(carry)), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<long>>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
     schema = pa.schema([*((f"c{k}", pa.null()) for k in range(len(carry))), ("text", pa.string()), ("n_words", pa.int64()), ("hit_spans", pa.list_(pa.list_(pa.int64()))), ("hit_items", pa.list_(pa.string()))])
