@@ -1,0 +1,25 @@
+"""What operators once left out: texts, candidates, rows and tokens beyond their first bounds."""
+
+import random
+
+import corpus_pipeline
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_long_texts_of_no_learned_language_are_rejected(spark):
+    from codequarry.llm.langid import identify
+
+    rng = random.Random(4)
+    words = "talo kissa juoksee metsässä ja on hän että kun mutta yliopisto kaupunki vesi järvi kylmä talvi kesällä lapset leikkivät puutarhassa".split()
+    syllables = "ka ta si nen la lä mi nä sta ssa tö ky vi ri ja he ko pu ru aa ää uo tt kk".split()
+    finnish = lambda n: " ".join(rng.choice(words) if rng.random() < 0.5 else "".join(rng.choices(syllables, k=rng.randrange(2, 5))) for _ in range(n // 7))
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz     ", k=n))
+    long = [make(n) for make in (finnish, letters) for n in (6000, 40_000) for _ in range(10)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    more = docs.unionByName(spark.createDataFrame([(10**6 + k, t, None, "s", len(t)) for k, t in enumerate(long)], docs.schema)).cache()
+    told = identify(more).collect()
+    assert all(r["lang_rejected"] for r in told if r["doc_id"] >= 10**6)
+    assert sum(not r["lang_rejected"] for r in told if r["doc_id"] < 10**6) > 0.93 * docs.count()
+    kept = corpus_pipeline.language_id(spark, more, SF)
+    assert kept.filter("doc_id >= 1000000").count() == 0 and kept.count() > 0.93 * docs.count()
