@@ -81,6 +81,7 @@ def _sketcher(width: int, schema: pa.Schema):
                         symbol = ((least ^ (least >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> np.uint32(16)
                         chunks[j // PER_CHUNK, some] |= symbol.astype(np.uint64) << np.uint64(16 * (j % PER_CHUNK))
                     rows = {"doc_id": batch.column(0).slice(start, end - start), "n_shingles": sizes, "high": high, "low": low}
+                    rows |= {name: batch.column(k).slice(start, end - start) for k, name in enumerate(batch.schema.names[2:], 2)}
                     yield K.batches_of(rows | {f"s{c}": chunks[c].view(np.int64) for c in range(CHUNKS)}, schema)
 
     return sketch
@@ -209,7 +210,7 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return labels.select("node", F.col("p").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, by_row: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
     Documents are linked whose sets of ``width``-word shingles have
@@ -219,13 +220,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     set and is linked with nothing. Rows that repeat a doc_id are documents of
     their own with the same id. A row without an id takes no part: its
     component is null and it is kept. Other columns are ignored.
+
+    With ``by_row`` also text_hash (xxhash64 of the text) and component, a
+    number that tells groups apart where a repeated id is the smallest of
+    several; an empty set's is its text_hash.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     folder = scratch(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), *((s, pa.int64()) for s in _SIGNATURE)]
-    sketches = docs.mapInArrow(_sketcher(width, pa.schema(fields)), ", ".join(f"{n} long" for n, _ in fields))
+    more = ["text_hash"] if by_row else []
+    fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), *((m, pa.int64()) for m in more), *((s, pa.int64()) for s in _SIGNATURE)]
+    sketches = docs.select("*", *(F.xxhash64("text").alias(m) for m in more)).mapInArrow(_sketcher(width, pa.schema(fields)), ", ".join(f"{n} long" for n, _ in fields))
     sketches = stored(sketches, f"{folder}/sketches")
 
     # Equal sets are one class, named by its smallest document.
@@ -288,7 +294,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = classes.select("cls", "rep", "copies", *named).join(reached.select(F.col("node").alias("cls"), "comp"), "cls", "left").filter("comp is not null or copies > 1").withColumn("comp", F.coalesce("comp", "cls"))
     whole = stored(whole, f"{folder}/whole")
     least = whole.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    found = stored(whole.join(least, "comp").select(*named, "component_id"), f"{folder}/found")
-    out = sized_join(sketches.select("doc_id", *named), found, named, found.count(), salt=F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    found = stored(whole.join(least, "comp").select(*named, "component_id", *(["comp"] if by_row else [])), f"{folder}/found")
+    out = sized_join(sketches.select("doc_id", *named, *more), found, named, found.count(), salt=F.col("doc_id"))
+    if by_row:
+        more += [F.when(F.col("n_shingles") == 0, F.col("text_hash")).otherwise(F.coalesce("comp", F.xxhash64(*named))).alias("component")]
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), *more)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

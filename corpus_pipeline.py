@@ -33,15 +33,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id are kept. Of rows with the same id in one group, and of
     those alike in id and text, the first text in sort order stays.
     """
-    groups = near_duplicates(docs, width=5, percent=80)
-    ids = groups.filter("not kept").select("doc_id").distinct()
+    groups = near_duplicates(docs, width=5, percent=80, by_row=True)
+    row = ["doc_id", "text_hash"]
+    docs = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
+    ids = groups.filter("not kept").select(*row).distinct()
     gone = ids.count()
-    kept = sized_join(docs.select(*COLUMNS), ids.withColumn("_gone", F.lit(True)), ["doc_id"], gone, salt=F.xxhash64("text")).filter("_gone is null").drop("_gone").select(*COLUMNS)
+    kept = sized_join(docs, ids.withColumn("_gone", F.lit(True)), row, gone, salt=F.col("text_hash")).filter("_gone is null").drop("_gone").select(*COLUMNS, "text_hash")
     again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     if again.isEmpty():
-        return kept
-    repeated = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
-    return kept.join(again, "doc_id", "left_anti").unionByName(repeated)
+        return kept.select(*COLUMNS)
+    where = groups.filter("kept").join(again, "doc_id", "left_semi").groupBy(*row).agg(F.min("component").alias("component"))
+    repeated = kept.join(again, "doc_id", "left_semi").join(where, row).groupBy("doc_id", "component").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+    return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(repeated)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

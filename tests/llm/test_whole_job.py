@@ -23,3 +23,12 @@ def test_long_texts_of_no_learned_language_are_rejected(spark):
     assert sum(not r["lang_rejected"] for r in told if r["doc_id"] < 10**6) > 0.93 * docs.count()
     kept = corpus_pipeline.language_id(spark, more, SF)
     assert kept.filter("doc_id >= 1000000").count() == 0 and kept.count() > 0.93 * docs.count()
+
+
+def test_unrelated_texts_under_one_id_all_stay(spark):
+    base, other, alone = "a b c d e f g h i j k l", "m n o p q r s t u v w x", "y z one two three four five six"
+    rows = [(5, base), (3, base), (5, other), (5, other + " end"), (5, other), (7, alone), (7, "nothing like the other one here"), (7, ""), (7, ""), (7, None), (9, base + " end"), (None, base), (None, base)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    want = [(3, base), (5, other), (7, alone), (7, "nothing like the other one here"), (7, ""), (7, None), (None, base), (None, base)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
