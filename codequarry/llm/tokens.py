@@ -218,11 +218,12 @@ def _cuts(data: np.ndarray, every: int = K.SLICE_BYTES) -> list[tuple[int, int]]
     return list(zip(found, [*found[1:], len(data)], strict=True))
 
 
-def token_counts(docs: DataFrame, path: str | None = None, text_col: str = "text", out: str = "n_tokens") -> DataFrame:
-    """docs with the exact number of tokens of each whole text (null: 0) as a further long column; a column of that name is replaced."""
+def token_counts(docs: DataFrame, path: str | None = None, text_col: str = "text", out: str = "n_tokens", keep_text: bool = False) -> DataFrame:
+    """docs without the text (or with it, after the other columns) and with the exact number of tokens of each whole text (null: 0) as a further long column; a column of that name is replaced."""
     path = path or tokenizer_path()
     bounded_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (text_col, out)]
+    held = [*keep, text_col] if keep_text else keep
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.enter("tokens")
@@ -230,10 +231,10 @@ def token_counts(docs: DataFrame, path: str | None = None, text_col: str = "text
         with np.errstate(over="ignore"):
             for batch in batches:
                 counts = [c for _, _, _, c in encoder.column(batch.column(len(keep)), count_only=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(counts) if counts else [], pa.int64())], names=[*keep, out])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(held)], pa.array(np.concatenate(counts) if counts else [], pa.int64())], names=[*held, out])
 
-    schema = docs.select(*keep).schema.add(out, "long")
-    return docs.select(*keep, F.col(text_col).cast("string")).mapInArrow(count, schema)
+    docs = docs.select(*keep, F.col(text_col).cast("string"))
+    return docs.mapInArrow(count, docs.select(*held).schema.add(out, "long"))
 
 
 def length_histogram(docs: DataFrame, path: str | None = None, text_col: str = "text", block: int = 1024) -> DataFrame:

@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import scratch, sized_join
+from codequarry.llm.common import scratch, sized_join, stored
 from codequarry.llm.langid import classify, labelled_sample
 from codequarry.llm.minhash import near_duplicates
 from codequarry.llm.mixing import mix
 from codequarry.llm.repair import token_files
+from codequarry.llm.tokens import token_counts
 from codequarry.llm.wumanber import find_benchmark
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -55,8 +56,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture of sources: every document once or more, a row for each reading."""
-    return mix(docs.select(*COLUMNS)).select(*COLUMNS)
+    """The mixture of sources by exact token counts: every document once or more, a row for each reading."""
+    counted = stored(token_counts(docs.select(*COLUMNS), out="n_tokens", keep_text=True), f"{scratch(spark)}/counted")
+    return mix(counted, tokens_col="n_tokens").select(*COLUMNS)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,3 +32,20 @@ def test_unrelated_texts_under_one_id_all_stay(spark):
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
     want = [(3, base), (5, other), (7, alone), (7, "nothing like the other one here"), (7, ""), (7, None), (None, base), (None, base)]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_mixing_goes_by_exact_tokens(spark):
+    from tokenizers import Tokenizer
+
+    from codequarry.llm.mixing import plan
+    from codequarry.llm.tokens import tokenizer_path
+
+    rows = [(k, "the house and the garden of my mother " * 5, "en", "plain", 1) for k in range(150)] + [(1000 + k, "дом и сад моей матери стоят у реки " * 5, "ru", "cyrillic", 1) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    tokens = {t: len(Tokenizer.from_file(tokenizer_path()).encode(t, add_special_tokens=False).ids) for t in {r[1] for r in rows}}
+    counted = spark.createDataFrame([(s, tokens[t]) for _, t, _, s, _ in rows], "source string, n long")
+    budget = {r["mix_source"]: r["budget"] for r in plan(counted, counted["n"]).collect()}
+    read = {}
+    for r in corpus_pipeline.mixing(spark, docs, SF).collect():
+        read[r["source"]] = read.get(r["source"], 0) + tokens[r["text"]]
+    assert all(budget[s] <= read[s] < budget[s] + max(tokens.values()) for s in budget)
