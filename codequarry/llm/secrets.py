@@ -1,7 +1,9 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a maximal run of 9 or more characters of ``[A-Za-z0-9_+/=.-]``
-that holds a digit and a letter. The forest sees its length, its changes
+A candidate is a maximal run of characters of ``[A-Za-z0-9_+/=.-]`` that holds
+a digit and a letter among 9 or more, or a known prefix of keys; or any value
+after a secret-like name and ``=`` or ``:``, whatever its characters or length,
+unless such a run holds it whole. The forest sees its length, its changes
 between kinds of characters, how much of it common words cover, whether it or
 its document's path looks like a path or a test file, and the words around it.
 All of it is column expressions and Spark's own learner; there is no Python on
@@ -17,10 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _RUN = r"A-Za-z0-9_+/=.\-"
-CANDIDATE = rf"(?<![{_RUN}])(?=[A-Za-z_+/=.\-]*+[0-9])(?=[0-9_+/=.\-]*+[A-Za-z])[{_RUN}]{{9,}}+"
+_KNOWN = r"(?:(?:AKIA|ASIA|AGPA|AIDA|AROA|ANPA)[A-Z0-9]{12}|gh[opsur]_[A-Za-z0-9]{8}|(?:github_pat_|glpat-|xox[abeoprs]-|[prs]k_(?:live|test)_|npm_|pypi-|hf_|dop_v1_|shp(?:at|ca|pa|ss)_|sk-)[A-Za-z0-9_\-]{8}|AIza[A-Za-z0-9_\-]{16}|eyJ[A-Za-z0-9_\-]{16}|ya29\.|SG\.[A-Za-z0-9_\-]{8})"
+CANDIDATE = rf"(?<![{_RUN}])(?:(?=[A-Za-z_+/=.\-]*+[0-9])(?=[0-9_+/=.\-]*+[A-Za-z])[{_RUN}]{{9,}}+|(?=[{_RUN}]*?(?<![A-Za-z0-9]){_KNOWN})[{_RUN}]{{9,}}+)"
+_NAME = r"(?:pass(?:words?|wd|phrase|code)|pass(?![A-Za-z])|pwd|secret|token|api[_.\- ]?key|access[_.\- ]?key|auth(?!or(?!i))|bearer|credential|private[_.\- ]?key)"
+#: A secret-like name, = or :, and in group 1 the value: to the closing quote where it is quoted, else to the next blank or quote. What is itself a name before a value is none.
+NAMED = rf"(?i){_NAME}[\w.\-]{{0,40}}+[\"'`\])]{{0,3}}+[ \t]*+(?::=|=>|={{1,3}}+|:)[ \t]*+(?:(?:bearer|basic)[ \t]++)?+" + rf"(?:[\"'`]?+)((?<=\")[^\"\\\r\n]*+(?:\\.[^\"\\\r\n]*+){{0,100}}+(?<!\")|(?<=')[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+){{0,100}}+(?<!')|(?<=`)[^`\r\n]++|(?<![\"'`])(?![\w.\-{{\[(]{{0,60}}{_NAME}[\w.\-]{{0,40}}[ \t]?[:=]+[\"'`\s])(?![{{\[(]+[\"'`\s])[^\s\"'`]++)"
 _WORDS = "example|user|name|page|mail|file|test|http|https|www|com|org|net|html|index|img|the|and|for|tion|ing|with|that|this|from|version|date|item|line|data|code|type|id"
 _NAMING = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|auth|bearer|credential|private.?key|client.?secret)"
-FEATURES = ["f_length", "f_digits", "f_upper", "f_lower", "f_changes", "f_distinct", "f_hex", "f_covered", "f_slashes", "f_dots", "f_test_path", "f_named", "f_assigned", "f_quoted"]
+FEATURES = ["f_length", "f_digits", "f_upper", "f_lower", "f_changes", "f_distinct", "f_hex", "f_covered", "f_slashes", "f_dots", "f_test_path", "f_named", "f_assigned", "f_quoted", "f_known", "f_marks", "f_call"]
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -33,14 +39,25 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null or empty text has none; neither does an empty table.
     """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), path.alias("path")).filter(F.col("text").rlike(CANDIDATE))
-    rows = rows.withColumns({"found": F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), "between": F.split("text", CANDIDATE, -1)})
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), path.alias("path"))
+    runs = _matches(rows, CANDIDATE, 0).select("doc_id", "start", "value", F.right("left", F.lit(40)).alias("before"), F.left("right", F.lit(2)).alias("after"), "path")
+    named = _matches(rows, NAMED, 1).filter("value <> ''")
+    around = F.concat(F.regexp_extract("left", rf"(?<![{_RUN}])[{_RUN}]++$", 0), F.col("value"), F.regexp_extract("right", rf"^[{_RUN}]*+", 0))
+    held = F.col("value").rlike(rf"^[{_RUN}]++$") & around.rlike(rf"^{CANDIDATE}$")
+    named = named.filter(~held).select("doc_id", "start", "value", F.right("left", F.lit(40)).alias("before"), F.left("right", F.lit(2)).alias("after"), "path")
+    return runs.unionByName(named)
+
+
+def _matches(rows: DataFrame, pattern: str, group: int) -> DataFrame:
+    """doc_id, path, start, value, left (from the match before to the value), right (to the next match): the group, which ends its match, of every match in text."""
+    rows = rows.filter(F.col("text").rlike(pattern))
+    rows = rows.withColumns({"found": F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), "value": F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), "between": F.split("text", pattern, -1)})
     sizes = F.zip_with("found", F.slice("between", 1, F.size("found")), lambda m, b: F.struct(F.length(b).cast("long").alias("b"), F.length(m).cast("long").alias("m")))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    starts = F.aggregate(sizes, zero, lambda a, x: F.struct((a["at"] + x["b"] + x["m"]).alias("at"), F.concat(a["out"], F.array(a["at"] + x["b"])).alias("out")))["out"]
-    edges = F.transform("between", lambda b: F.struct(F.right(b, F.lit(40)).alias("r"), F.left(b, F.lit(2)).alias("l")))
-    rows = rows.select("doc_id", "path", F.explode(F.arrays_zip("found", starts.alias("starts"), F.slice(edges, 1, F.size("found")).alias("b"), F.slice(edges, 2, F.size("found")).alias("a"))).alias("x"))
-    return rows.select("doc_id", F.col("x.starts").alias("start"), F.col("x.found").alias("value"), F.col("x.b.r").alias("before"), F.col("x.a.l").alias("after"), "path")
+    ends = F.aggregate(sizes, zero, lambda a, x: F.struct((a["at"] + x["b"] + x["m"]).alias("at"), F.concat(a["out"], F.array(a["at"] + x["b"] + x["m"])).alias("out")))["out"]
+    rows = rows.select("doc_id", "path", F.explode(F.arrays_zip("found", "value", ends.alias("ends"), F.slice("between", 1, F.size("found")).alias("b"), F.slice("between", 2, F.size("found")).alias("a"))).alias("x"))
+    lead = F.left("x.found", F.length("x.found") - F.length("x.value"))
+    return rows.select("doc_id", "path", (F.col("x.ends") - F.length("x.value")).alias("start"), F.col("x.value").alias("value"), F.concat("x.b", lead).alias("left"), F.col("x.a").alias("right"))
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -65,6 +82,9 @@ def with_features(found: DataFrame) -> DataFrame:
         "f_named": flag(F.col("_b").rlike(_NAMING)),
         "f_assigned": flag(F.col("_b").rlike("[=:]\\s*[\"']?$")),
         "f_quoted": flag(F.col("after").rlike("^[\"']")),
+        "f_known": flag(F.col("_v").rlike(rf"(?<![A-Za-z0-9]){_KNOWN}")),
+        "f_marks": _count(F.col("_v"), "[!@#$%^&*~?:;|]") / n,
+        "f_call": flag(F.col("_v").rlike(r"[(\[{]|^(?i)(str|string|none|null|true|false|bool|int|optional.*|required|undefined)[,;.)]*$")),
     }).drop("_v", "_b")
 
 
@@ -91,6 +111,11 @@ def example_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (0, F.concat(pick(19, "v", "rev", "build-"), number(20, 30), F.lit("."), number(21, 99), F.lit("."), number(22, 9999), F.lit("-beta")), pick(23, "version = ", "release ", "at "), " "),
         (0, F.concat(F.lit("2024-"), number(24, 12), F.lit("-1T"), number(25, 24), F.lit("-30-00Z")), pick(26, "date: ", "on ", "am "), " "),
         (0, F.concat(F.substring(h(27), 1, 8), F.lit("-"), F.substring(h(28), 1, 4), F.lit("-4"), F.substring(h(29), 1, 3), F.lit("-"), F.substring(h(30), 1, 12)), pick(31, "id: ", "uuid ", "row "), " "),
+        (1, F.concat(pick(40, "Correct", "Silent", "Purple", "Winter"), pick(41, "Horse", "River", "Window", "Falcon"), pick(42, "Battery", "Staple", "Garden", "Copper")), pick(43, 'password = "', 'passwd: "', 'secret="', 'db_password: "'), '"'),
+        (1, F.concat(pick(44, "Tr0ub4", "hunter", "qwe", "Zx"), pick(45, "!", "@", "#", "$", "%", "&"), number(46, 9999), pick(47, "~x", ":K", "!", "")), pick(48, "password: ", "password=", "pwd = ", "secret_key: "), pick(49, '"', "\n", " ")),
+        (1, number(50, 10**8), pick(51, "password: ", "pass = ", "passcode = ", "token="), pick(52, '"', "\n", " ")),
+        (0, pick(53, "str", "None", "getpass()", "get_token(request)", "string,", "true", "config[", "null", "os.environ["), pick(54, "password: ", "token = ", "secret=", "api_key: "), pick(55, " ", "\n", '"')),
+        (0, pick(56, "the", "a", "your", "enter", "it", "der", "la", "this", "please"), pick(57, "the password: ", "token: ", "secret: ", "passwords: "), " "),
         (0, F.substring(h(32), 1, 40), pick(33, "commit ", "sha1 of the file ", "digest: ", "checksum "), " "),
     ]
     kind = F.pmod(F.col("id"), F.lit(len(shapes)))
