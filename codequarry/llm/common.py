@@ -18,11 +18,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/codequarry-{uuid.uuid4().hex}"
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of ``rows`` rows unless the session says otherwise: its default of 10,000 is much memory for whole texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of ``size`` at most, unless the session was given a limit of its own: the default of 64 MB is much memory beside whole texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, size)
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:

@@ -62,7 +62,7 @@ def test_encoder_equals_library():
 
 
 def test_token_files(spark, texts, tmp_path):
-    from codequarry.llm.repair import read_tokens, token_files, write_tokens
+    from codequarry.llm.repair import ids_at, read_tokens, token_files, write_tokens
 
     rows = [(k, t, "x") for k, t in enumerate(texts)] + [(None, "no id", "x"), (3, "again", "y"), (3, texts[3], "z")]
     docs = table(spark, rows, "doc_id long, text string, n_tokens string")
@@ -76,25 +76,49 @@ def test_token_files(spark, texts, tmp_path):
     write_tokens(docs, str(tmp_path / "t"), shard_tokens=500)
     whole = {(r["doc_id"], r["ids_crc32"]): r["ids"] for r in read_tokens(spark, str(tmp_path / "t"), keep_ids=True).collect()}
     assert all(ids(t) in whole.values() for _, t, _ in rows[:50])
+    every = [x for r in sorted(read_tokens(spark, str(tmp_path / "t"), keep_ids=True).collect(), key=lambda r: r["start"]) for x in r["ids"]]
+    ranges = [("a", 0, 10), ("b", 490, 2100), ("c", len(every) - 3, len(every) + 50), ("d", 7, 7), ("e", None, 3), ("f", -5, 2), ("g", 10**9, 10**9 + 5), ("h", 0, len(every)), (None, 3, 9)]
+    got = {r["request"]: r["ids"] for r in ids_at(spark, str(tmp_path / "t"), table(spark, ranges, "request string, start long, end long"), block=700).collect()}
+    assert got == {n: every[max(a, 0) : b] for n, a, b in ranges if n not in ("d", "e", "g")}
     assert token_files(docs.limit(0)).collect() == []
 
 
+def plain_pairs(symbols, ends):
+    """How often each pair occurs in a document, without overlaps."""
+    count, first = {}, 0
+    for e in ends:
+        last = {}
+        for k in range(first, e - 1):
+            p = (symbols[k], symbols[k + 1])
+            if last.get(p) != k - 1 or p[0] != p[1]:
+                count[p] = count.get(p, 0) + 1
+                last[p] = k
+        first = e
+    return count
+
+
 def test_grammar():
-    from codequarry.llm.repair import Grammar, compress
+    from codequarry.llm.repair import Grammar, _packed, _unpacked, compress
 
     rng = np.random.default_rng(3)
-    for n, kinds in ((0, 2), (1, 2), (50, 1), (4000, 3), (4000, 60)):
+    for n, kinds, least in ((0, 2, 2), (1, 2, 2), (50, 1, 2), (4000, 3, 2), (4000, 60, 2), (9000, 40, 8), (7000, 7000, 8)):
         ids = rng.integers(0, kinds, n).astype(np.int32)
+        if kinds == 7000:
+            ids = np.tile(np.arange(700), 10).astype(np.int32)
         ends = np.unique(np.append(rng.integers(0, n + 1, 5), n)) if n else np.array([0])
-        symbols, sizes, pairs = compress(ids, ends, 100, least=2)
-        g = Grammar(pairs, 100)
-        assert g.decode(symbols).tolist() == ids.tolist() and sizes.sum() == len(symbols)
+        with np.errstate(over="ignore"):
+            symbols, sizes, rules = compress(ids, ends, 7000, least)
+        g = Grammar(rules, 7000)
+        again = Grammar(rules, 7000, g.sizes[7000:].astype("<u4"))
+        assert again.decode(symbols).tolist() == g.expand(symbols).tolist() == ids.tolist() and sizes.sum() == len(symbols)
         at = np.cumsum(sizes)
+        assert max(plain_pairs(symbols.tolist(), at.tolist()).values(), default=0) < least
         for k, e in enumerate(ends):
             first = ends[k - 1] if k else 0
             assert g.decode(symbols[(at[k - 1] if k else 0) : at[k]]).tolist() == ids[first:e].tolist()
         if n > 100:
             assert g.ids_between(symbols, 17, 93).tolist() == ids[17:93].tolist() and len(symbols) < n
+        assert all(_unpacked(_packed(symbols, w), w).tolist() == symbols.tolist() for w in (2, 3, 4))
 
 
 def test_histogram(spark, texts):
@@ -314,10 +338,11 @@ def test_neighbours(spark):
 # ---------------------------------------------------------------- chat
 
 
-def test_chat(spark):
-    from codequarry.llm.chat import chat_digest, expanded, format_turns
+def test_chat(spark, tmp_path):
+    from codequarry.llm.chat import chat_digest, digest, expanded, read_turns
 
-    rows = [(1, 0, "us\ner\\n<|x", r"<|a <\| <\\| \\n <\|im_end|>"), (1, None, None, None), (1, 0, "assistant", ""), (None, 3, "assistant", "<|im_end|>\n"), (1, 2, "assistant", "é<\\\\|😀"), (1, 2, "assistant", "é<\\\\|😀"), (2, 1, "a\\\\nb\\", "x\\"), (3, 0, "user", "only")]
+    rows = [(1, 0, "us\ner\\n<|x", r"<|a <\| <\\| \n <\|im_end|>"), (1, None, None, None), (1, 0, "assistant", ""), (None, 3, "assistant", "<|im_end|>\n"), (1, 2, "assistant", "é<\\\\|😀"), (1, 2, "assistant", "é<\\\\|😀"), (2, 1, "a\\\\nb\\", "x\\"), (3, 0, "user", "only")]
+    rows += [(7, k, "user" if k % 3 else "assistant", f"turn {k} <|{'x' * k}") for k in range(90)]  # goes over several parts
     df = table(spark, [(*r, 5) for r in rows], "conv_id long, turn long, role string, text string, start int")
     by = {}
     for c, t, r, x in rows:
@@ -327,14 +352,29 @@ def test_chat(spark):
         v.sort()
         loss = "".join(x for _, r, x in v if r == "assistant")
         want[c] = (len(v), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in v).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    turns = format_turns(df)
+    target = str(tmp_path / "chat")
+    got = {r["conv_id"]: tuple(r)[1:] for r in chat_digest(df, target).collect()}
+    turns = read_turns(spark, target)
     size = {r["conv_id"]: r["n"] for r in turns.groupBy("conv_id").agg(F.sum(F.length("formatted")).alias("n")).collect()}
-    got = {r["conv_id"]: tuple(r)[1:] for r in chat_digest(df).collect()}
     assert {c: v[:4] for c, v in got.items()} == want and {c: v[4] for c, v in got.items()} == size
-    whole = expanded(turns).collect()
-    assert len(whole) == 4 and all(r["text"].endswith("<|im_end|>\n") for r in whole)
+    assert spark.read.parquet(f"{target}/offsets").count() >= 1
+    whole = expanded(spark, target).collect()
+    assert len(whole) == 34 and all(r["text"].endswith("<|im_end|>\n") for r in whole)
     third = next(r for r in whole if r["conv_id"] == 1 and r["example"] == 4)
     assert third["text"][third["loss_start"] : third["loss_end"]] == "é<\\\\\\|😀" and third["text"].count("<|im_start|>") == 5
+    late = next(r for r in whole if r["conv_id"] == 7 and r["example"] == 87)
+    assert late["text"][late["loss_start"] : late["loss_end"]] == "turn 87 <\\|" + "x" * 87 and late["text"].count("<|im_start|>") == 88
+    assert expanded(spark, target, table(spark, [(1,)], "conv_id long")).count() == 3
+    # A loss span moved by one character gives another digest.
+    spans = spark.read.parquet(f"{target}/examples").collect()
+    kind = spark.read.parquet(f"{target}/examples").schema
+    for shift in ((1, 1), (0, 1), (-1, 0)):
+        table(spark, [(r[0], r[1], r[2], r[3] + shift[0], r[4] + shift[1]) for r in spans], kind).write.mode("overwrite").parquet(f"{target}/examples")
+        moved = {r["conv_id"]: r["loss_sha256"] for r in digest(spark, target).collect()}
+        assert all(moved[c] != v[3] for c, v in want.items() if c in (1, 7, None)) and all(moved[c] == want[c][3] for c in (2, 3))
+    table(spark, [(r[0], r[1], r[2], r[3], r[4] + 500) for r in spans], kind).write.mode("overwrite").parquet(f"{target}/examples")
+    with pytest.raises(Exception, match="is in no turn"):
+        digest(spark, target).collect()
     assert chat_digest(df.limit(0)).collect() == []
 
 
