@@ -7,7 +7,6 @@ state between rows.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,23 +19,6 @@ _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
 
 
-def give_back() -> None:
-    """Return freed memory to the system. Python workers live on from stage to stage, and what one stage has freed would count against the next."""
-    pa.default_memory_pool().release_unused()
-    if _TRIM is not None:
-        _TRIM(0)
-
-
-def _trim_function():
-    try:
-        return ctypes.CDLL("libc.so.6").malloc_trim
-    except (OSError, AttributeError):  # another C library, which has no such call
-        return None
-
-
-_TRIM = _trim_function()
-
-
 #: What operators keep in a Python worker from task to task: for each operator, how to let go of it.
 KEPT: dict[str, Callable[[], None]] = {}
 
@@ -46,7 +28,6 @@ def enter(operator: str) -> None:
     for name, drop in KEPT.items():
         if name != operator:
             drop()
-    give_back()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -112,7 +93,6 @@ def text_slices(column: pa.Array | pa.ChunkedArray, ending: bytes = b"\n", most:
         data = np.frombuffer(part.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if part.buffers()[2] is not None else np.zeros(0, np.uint8)
         yield first, end, data, bounds - bounds[0]
         first = end
-    give_back()
 
 
 def _lower_table() -> np.ndarray:

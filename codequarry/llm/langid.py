@@ -15,71 +15,75 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from . import kernels as K
 from .common import bounded_batches
 
 UNKNOWN = "und"
+#: Bytes of a language's dictionary, and characters of the piece that a drawn text gives to it.
 DICTIONARY_BYTES = 64 << 10
-SAMPLE_BYTES = 1 << 10
+PIECE_CHARS = 512
 BLOCK_BYTES = 8 << 10
-#: Texts of up to so many bytes are compressed with the exhaustive match search, where each byte counts; longer ones with the greedy search.
-CAREFUL_BYTES = 1536
 #: Least lead over the second language, as a share of its size. The smallest tried with which no gibberish or made-up Finnish text of 3 kB or more is kept; see the README for what it costs on labelled rows.
 MIN_MARGIN = 0.015
 
 
-def labelled_sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", dictionary_bytes: int = DICTIONARY_BYTES, sample_bytes: int = SAMPLE_BYTES) -> dict[str, tuple[int, bytes]]:
+def labelled_sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", dictionary_bytes: int = DICTIONARY_BYTES, piece_chars: int = PIECE_CHARS) -> dict[str, tuple[int, bytes]]:
     """The number of labelled texts and raw dictionary content of each language with any.
 
-    Of each language about ``4 * dictionary_bytes / sample_bytes`` texts are
-    drawn by a hash of id and text; of each at most ``sample_bytes`` from its
-    middle are kept, and of these ``dictionary_bytes`` at most. This bounds
-    what reaches the driver by the number of languages.
+    Of each language about ``4 * dictionary_bytes / piece_chars`` texts are
+    drawn by a hash of id and text, twice as many at most, and always the one
+    with the least hash. A drawn text gives the piece of ``piece_chars``
+    characters at a hashed place of it (a shorter text all of it), equal texts
+    of one id once. Pieces fill the dictionary in the order of the hash. This
+    bounds what reaches the driver by the number of languages.
     """
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    per = max(1, 4 * dictionary_bytes // sample_bytes)
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = None
-    for lang, n in counts.items():
-        test = (F.col("lang") == lang) & (F.col("draw") < int(min(1.0, per / n) * (1 << 30)))
-        share = test if share is None else share | test
-    if share is None:
+    draws = 1 << 30
+    per = max(1, 4 * dictionary_bytes // piece_chars)
+    rows = docs.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"))
+    rows = rows.withColumn("draw", F.xxhash64("id", "text", F.lit(7)))
+    spare = F.greatest(F.length("text") - piece_chars, F.lit(0))
+    rows = rows.withColumn("piece", F.substring("text", (F.pmod(F.xxhash64("draw"), spare + 1) + 1).cast("int"), F.lit(piece_chars)))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min_by("piece", "draw").alias("least")).collect()  # a row for each language
+    if not counts:
         return {}
-    drawn = rows.withColumn("draw", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(7)), F.lit(1 << 30))).filter(share)
-    middle = F.greatest(F.lit(1), (F.length("text") / 2 - sample_bytes // 4).cast("int"))
-    drawn = drawn.select("lang", "draw", F.substring("text", middle, F.lit(sample_bytes // 2)).alias("text")).filter("text <> ''")
-    content: dict[str, list[bytes]] = {lang: [] for lang in counts}
-    seen: dict[str, set[bytes]] = {lang: set() for lang in counts}
-    for r in sorted(drawn.collect(), key=lambda r: (r["draw"], r["text"])):
-        raw = r["text"].encode()
-        if raw not in seen[r["lang"]] and sum(map(len, content[r["lang"]])) < dictionary_bytes:
-            seen[r["lang"]].add(raw)
-            content[r["lang"]].append(raw + b"\n")
-    return {lang: (counts[lang], b"".join(parts)[:dictionary_bytes]) for lang, parts in sorted(content.items()) if parts}
+    share = rows.sparkSession.createDataFrame([(r["lang"], int(min(1.0, per / r["n"]) * draws)) for r in counts], "lang string, upto long")
+    drawn = rows.join(F.broadcast(share), "lang").filter(F.pmod("draw", F.lit(draws)) < F.col("upto")).groupBy("lang", "draw").agg(F.min("piece").alias("piece"))
+    order = Window.partitionBy("lang").orderBy("draw")
+    drawn = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2 * per)
+    pieces: dict[str, dict[str, None]] = {r["lang"]: {} for r in counts}
+    for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["place"])):
+        pieces[r["lang"]].setdefault(r["piece"])
+    for r in counts:
+        pieces[r["lang"]].setdefault(r["least"])
+    found = {}
+    for r in counts:
+        content, held = b"", (p.encode(errors="replace") + b"\n" for p in pieces[r["lang"]])
+        while len(content) < dictionary_bytes and (more := next(held, None)):
+            content += more
+        found[r["lang"]] = (r["n"], content[:dictionary_bytes])
+    return dict(sorted(found.items()))
 
 
 class Classifier:
-    """Compressors for each language, those with most labelled texts first, which wins ties."""
+    """A compressor for each language, those with most labelled texts first, which wins ties."""
 
     def __init__(self, content: dict[str, tuple[int, bytes]]) -> None:
         import zstandard as z
 
         self.langs = sorted(content, key=lambda k: (-content[k][0], k))
-        self.codecs: list[list] = []
-        for strategy, search, target in ((z.STRATEGY_GREEDY, 3, 0), (z.STRATEGY_BTOPT, 4, 16)):
-            p = z.ZstdCompressionParameters(window_log=18, chain_log=16, hash_log=16, search_log=search, min_match=3, target_length=target, strategy=strategy, write_content_size=0, write_checksum=0, write_dict_id=0)
-            row = []
-            for lang in self.langs:
-                d = z.ZstdCompressionDict(content[lang][1], dict_type=z.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(compression_params=p)
-                row.append(z.ZstdCompressor(dict_data=d, compression_params=p))
-            self.codecs.append(row)
+        p = z.ZstdCompressionParameters(window_log=18, chain_log=16, hash_log=16, search_log=4, min_match=3, strategy=z.STRATEGY_LAZY, write_content_size=0, write_checksum=0, write_dict_id=0)
+        self.codecs = []
+        for lang in self.langs:
+            d = z.ZstdCompressionDict(content[lang][1], dict_type=z.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=p)
+            self.codecs.append(z.ZstdCompressor(dict_data=d, compression_params=p))
 
     def sizes(self, text: bytes, block: int = BLOCK_BYTES) -> list[int]:
-        codecs = self.codecs[len(text) <= CAREFUL_BYTES]
+        """Compressed bytes of the whole text, block by block, for each language."""
         parts = [text[i : i + block] for i in range(0, len(text), block)] if len(text) > block else [text]
-        return [sum(len(c.compress(p)) for p in parts) for c in codecs]
+        return [sum(len(c.compress(p)) for p in parts) for c in self.codecs]
 
 
 def _has_letter(text: str) -> bool:
@@ -124,7 +128,6 @@ def classify(docs: DataFrame, content: dict[str, tuple[int, bytes]], text_col: s
                 margins.append(margin)
                 rejected.append(lead <= 0 or margin < min_margin)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(rejected, pa.bool_())], names=[*names, *fields])
-            K.give_back()
 
     schema = StructType(list(docs.schema.fields))
     for name, kind in zip(fields, ("string", "double", "double", "boolean"), strict=True):
