@@ -35,15 +35,30 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sized_join(left: DataFrame, right: DataFrame, on: list[str], rows: int, how: str = "left", most: int = 500_000, salts: int = 32, salt: Column | None = None) -> DataFrame:
-    """Join a large, perhaps skewed left side with a right side of ``rows`` rows, unique in ``on``.
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as it takes to differ from all of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while any(c.startswith(name.lower()) for c in taken):
+        name = f"_{name}"
+    return name
 
-    Up to ``most`` rows the right side is broadcast. Beyond, both are dealt by
+
+def byte_size(df: DataFrame) -> int:
+    """Bytes of a table's values: strings and binaries by their length, 8 for any other, 16 more for each row."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)) if kind in ("string", "binary") else F.lit(8) for name, kind in df.dtypes), F.lit(16))
+    return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+
+
+def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", most: int = 48 << 20, salts: int = 32, salt: Column | None = None) -> DataFrame:
+    """Join a large, perhaps skewed left side with a stored right side that is unique in ``on``.
+
+    A right side of up to ``most`` bytes is broadcast. Beyond, both are dealt by
     the key and a salt (the right side once for each salt), so that one hot key
     of the left side is spread over ``salts`` tasks.
     """
-    if rows <= most:
+    if byte_size(right) <= most:
         return left.join(F.broadcast(right), on, how)
-    left = left.withColumn("_salt", F.pmod(F.xxhash64(salt if salt is not None else F.struct(*left.columns)), F.lit(salts)).cast("int"))
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    name = free_name([*left.columns, *right.columns], "_salt")
+    left = left.withColumn(name, F.pmod(F.xxhash64(salt if salt is not None else F.struct(*left.columns)), F.lit(salts)).cast("int"))
+    right = right.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*on, name], how).drop(name)

@@ -1,20 +1,25 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-A document's set of word shingles gives ``chunks * per_chunk`` min-hashes of
+A document's set of word shingles gives ``CHUNKS * PER_CHUNK`` min-hashes of
 which 16 bits are kept. Two signatures that differ in at most
-``2 * chunks - 1`` symbols have, by the pigeonhole principle, a chunk with at
+``2 * CHUNKS - 1`` symbols have, by the pigeonhole principle, a chunk with at
 most one differing symbol. Each signature is therefore indexed under every
 chunk with each one of its symbols left out (the allowed chunk errors), and all
-pairs under the distance threshold meet under some key. At a similarity of 0.8
-a pair of sets exceeds the threshold of 19 of 40 with a probability of 2e-5, at
-0.85 of 1e-7.
+pairs under the distance threshold meet under some key. So do most pairs beyond
+it: what counts is one chunk with at most one difference, and at a similarity
+of 0.8 a pair of sets has none with a probability of 1.2e-9, at 0.85 of 3e-12.
 
 Documents with equal sets are one class from the start. Keys under which many
 classes meet never emit all their pairs: first every class is compared with the
 key's most central class (that which meets most others); what this leaves in
 several components is compared in tiles of bounded size, by exact set
-intersections, of which only spanning links leave the task. Tiles that lie in
-one component are skipped. All links are confirmed on the full sets.
+intersections, of which only spanning links leave the task. Tiles hold sets of
+like sizes; those whose sizes rule a link out, or that lie in one component,
+are not compared. All links are confirmed on the full sets.
+
+Classes have numbers, not hashes, so that no two share one. Keys under which a
+large share of all classes meet are joined by broadcast, there being few of
+them by their definition.
 """
 
 from __future__ import annotations
@@ -30,9 +35,13 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import bounded_batches, scratch, sized_join, stored
 
-CHUNKS, PER_CHUNK = 10, 4
-MOST_DISTANCE = 2 * CHUNKS - 1
-TILE = 256
+CHUNKS, PER_CHUNK = 12, 4
+#: Pairs that met and differ in more symbols aren't compared on their sets: at a similarity of 0.8 that is one pair in 3e12.
+HOPELESS = 32
+#: Classes of a tile at most, and shingles in its sets; a tile holds ``LEAST_TILE`` sets at least.
+TILE, TILE_SHINGLES, LEAST_TILE = 1024, 1 << 20, 16
+#: A key is hot with so many rows, or more in very large tables: never more than a million keys are.
+HOT, MOST_HOT = 4096, 1_000_000
 _LANES = [0xFFFF << (16 * v) for v in range(PER_CHUNK)]
 _SIGNATURE = [f"s{c}" for c in range(CHUNKS)]
 
@@ -174,6 +183,20 @@ def _tile_links(percent: int, schema: pa.Schema):
     return links
 
 
+def _hot(counts: DataFrame, n: str = "n") -> DataFrame:
+    """The keys of ``counts`` (key, n) that are hot, MOST_HOT at most."""
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    return counts.filter(F.col(n) > max(HOT, total // MOST_HOT)).select("key")
+
+
+def _joined(left: DataFrame, right: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Join on key; ``right`` is unique in it. Rows of hot keys meet theirs by broadcast, so that none of them lands in one task."""
+    if hot is None:
+        return left.join(right, "key")
+    cold = left.join(F.broadcast(hot), "key", "left_anti").join(right, "key")
+    return cold.unionByName(left.join(F.broadcast(right.join(F.broadcast(hot), "key", "left_semi")), "key"))
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, comp): for every node of the undirected edges (u, v) the smallest node it is connected with.
 
@@ -234,20 +257,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = docs.select("*", *(F.xxhash64("text").alias(m) for m in more)).mapInArrow(_sketcher(width, pa.schema(fields)), ", ".join(f"{n} long" for n, _ in fields))
     sketches = stored(sketches, f"{folder}/sketches")
 
-    # Equal sets are one class, named by its smallest document.
+    # Equal sets are one class, whose smallest document stands for it. One document may hold several where its id is repeated.
     named = ["high", "low", "n_shingles"]
     classes = sketches.filter("doc_id is not null and n_shingles > 0").groupBy(*named).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.min(s).alias(s) for s in _SIGNATURE))
-    # One document may hold several sets where its id is repeated; a class number keeps such classes apart.
-    classes = classes.withColumn("cls", F.xxhash64("high", "low", "n_shingles"))
-    classes = stored(classes, f"{folder}/classes")
+    classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), f"{folder}/classes")
 
     keys = classes.select("cls", F.explode(F.array(*(F.xxhash64(F.lit(PER_CHUNK * c + v), F.col(f"s{c}").bitwiseAND(F.lit(_signed(~_LANES[v] & (1 << 64) - 1)))) for c in range(CHUNKS) for v in range(PER_CHUNK)))).alias("key"))
-    met = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = stored(keys.join(met, "key").select("key", "cls", "n"), f"{folder}/members")
+    met = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), f"{folder}/met")
+    hot = _hot(met)
+    hot = None if hot.isEmpty() else stored(hot, f"{folder}/hot")
+    members = stored(_joined(keys, met, hot).select("key", "cls", "n"), f"{folder}/members")
     central = members.groupBy("cls").agg(F.sum(F.col("n") - 1).alias("met"))
     ranked = members.join(central, "cls")
     leader = ranked.groupBy("key").agg(F.max(F.struct("met", "cls"))["cls"].alias("lead"))
-    star = stored(members.join(leader, "key").select("key", "cls", "lead", "n"), f"{folder}/star")
+    leader = stored(leader, f"{folder}/leaders") if hot is not None else leader
+    star = stored(_joined(members, leader, hot).select("key", "cls", "lead", "n"), f"{folder}/star")
 
     # The full sets of all classes that meet others.
     wanted = members.select("cls").distinct().join(classes.select("cls", "rep", *named), "cls")
@@ -264,7 +288,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = classes.select("cls", *(F.col(s).alias(f"a{s}") for s in _SIGNATURE))
     two = classes.select(F.col("cls").alias("lead"), *(F.col(s).alias(f"b{s}") for s in _SIGNATURE))
     lanes = [F.when(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}")).bitwiseAND(F.lit(_signed(m))) != 0, 1).otherwise(0) for s in _SIGNATURE for m in _LANES]
-    near = pairs.join(one, "cls").join(two, "lead").filter(sum(lanes[1:], lanes[0]) <= MOST_DISTANCE).select(F.col("cls").alias("u"), F.col("lead").alias("v"))
+    near = pairs.join(one, "cls").join(two, "lead").filter(sum(lanes[1:], lanes[0]) <= HOPELESS).select(F.col("cls").alias("u"), F.col("lead").alias("v"))
     link_schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
     with_sets = near.join(sets.select(F.col("cls").alias("u"), F.col("members").alias("x")), "u").join(sets.select(F.col("cls").alias("v"), F.col("members").alias("y")), "v")
     links = stored(with_sets.mapInArrow(_checker(percent, link_schema), "u long, v long"), f"{folder}/links")
@@ -275,18 +299,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_star = comp_of(star.filter("n > 2"))
     several = open_star.filter("cls <> lead").groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
     group = open_star.filter("cls <> lead").join(several, "key", "left_semi").select("lead", "cls", "comp").distinct()
-    group = stored(group, f"{folder}/groups")
-    by_comp = group.groupBy("lead", "comp").agg(F.count("*").alias("size"))
-    small = by_comp.filter(F.col("size") < TILE).groupBy("lead").agg(F.ceil(F.sum("size") / TILE).alias("tiles"))
-    tiled = group.join(by_comp, ["lead", "comp"]).join(small, "lead", "left")
-    own = F.when(F.col("size") >= TILE, F.struct(F.col("comp").alias("of"), F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / TILE)).alias("part"))).otherwise(F.struct(F.lit(None).cast("long").alias("of"), F.pmod(F.xxhash64("comp"), F.col("tiles")).alias("part")))
+    # Linked sets differ in size by no more than 100 / percent, so they are in one band or in neighbouring ones.
+    step = 1.001 * float(np.log(100 / percent)) if percent < 100 else 0.001
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / step)
+    group = stored(group.join(wanted.select("cls", "n_shingles"), "cls").withColumn("band", band), f"{folder}/groups")
+    room = F.greatest(F.lit(min(TILE, LEAST_TILE)), F.least(F.lit(TILE), F.floor(TILE_SHINGLES / F.exp((F.col("band") + 1) * step)))).cast("long")
+    by_comp = stored(group.groupBy("lead", "comp", "band").agg(F.count("*").alias("size")).withColumn("room", room), f"{folder}/sizes")
+    small = by_comp.filter("size < room").groupBy("lead", "band").agg(F.ceil(F.sum("size") / F.max("room")).alias("tiles"))
+    placed = by_comp.join(small, ["lead", "band"], "left")
+    tiled = sized_join(group, stored(placed, f"{folder}/placed"), ["lead", "comp", "band"], "inner", salt=F.col("cls"))
+    none = F.lit(None).cast("long")
+    own = F.when(F.col("size") >= F.col("room"), F.struct("band", F.col("comp").alias("of"), F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / F.col("room"))).alias("part"))).otherwise(F.struct("band", none.alias("of"), F.pmod(F.xxhash64("comp"), F.col("tiles")).alias("part")))
     tiled = stored(tiled.select("lead", "cls", "comp", own.alias("tile")), f"{folder}/tiles")
     tiles = tiled.select("lead", "tile").distinct()
     other = tiles.select("lead", F.col("tile").alias("other"))
-    meet = tiles.join(other, "lead").filter("tile <= other and (tile.of is null or other.of is null or tile.of <> other.of)").withColumn("of_pair", F.struct("lead", "tile", "other"))
+    meet = tiles.join(other, "lead").filter("tile <= other and other.band - tile.band <= 1 and (tile.of is null or other.of is null or tile.of <> other.of)").withColumn("of_pair", F.struct("lead", "tile", "other"))
     sides = meet.select("lead", "tile", "of_pair").unionByName(meet.filter("tile <> other").select("lead", F.col("other").alias("tile"), "of_pair"))
-    tasks = tiled.join(sides, ["lead", "tile"]).join(sets, "cls").select(F.col("of_pair.lead").alias("lead"), F.col("of_pair.tile.of").alias("t1"), F.col("of_pair.tile.part").alias("t2"), F.col("of_pair.other.of").alias("o1"), F.col("of_pair.other.part").alias("o2"), F.col("cls").alias("rep"), "comp", "members")
-    late = stored(tasks.groupBy("lead", "t1", "t2", "o1", "o2").applyInArrow(_tile_links(percent, link_schema), "u long, v long"), f"{folder}/late")
+    pair = [F.col("of_pair.lead").alias("lead"), *(F.col(f"of_pair.{side}.{field}").alias(f"{side}_{field}") for side in ("tile", "other") for field in ("band", "of", "part"))]
+    tasks = tiled.join(sides, ["lead", "tile"]).join(sets, "cls").select(*pair, F.col("cls").alias("rep"), "comp", "members")
+    late = stored(tasks.groupBy("lead", *(f"{side}_{field}" for side in ("tile", "other") for field in ("band", "of", "part"))).applyInArrow(_tile_links(percent, link_schema), "u long, v long"), f"{folder}/late")
     if not late.isEmpty():
         reached = components(links.unionByName(late), f"{folder}/cc2")
 
@@ -295,7 +326,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = stored(whole, f"{folder}/whole")
     least = whole.groupBy("comp").agg(F.min("rep").alias("component_id"))
     found = stored(whole.join(least, "comp").select(*named, "component_id", *(["comp"] if by_row else [])), f"{folder}/found")
-    out = sized_join(sketches.select("doc_id", *named, *more), found, named, found.count(), salt=F.col("doc_id"))
+    out = sized_join(sketches.select("doc_id", *named, *more), found, named, salt=F.col("doc_id"))
     if by_row:
         more += [F.when(F.col("n_shingles") == 0, F.col("text_hash")).otherwise(F.coalesce("comp", F.xxhash64(*named))).alias("component")]
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), *more)

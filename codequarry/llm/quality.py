@@ -139,7 +139,7 @@ def score(docs: DataFrame, model, host: Column, path: Column, id_col: str = "doc
     shrunk = (F.col("host_s") + of_host * prior) / (F.col("host_n") + of_host)
     sites = stored(paths.join(hosts.withColumn("host_prior", shrunk), "host"), f"{folder}/sites")
     of_path = _strength(sites, "s", "n", F.col("host_prior"))
-    joined = sized_join(scored, sites, ["host", "path"], sites.count(), "inner", salt=F.col("doc_id"))
+    joined = sized_join(scored, sites, ["host", "path"], "inner", salt=F.col("doc_id"))
     host_rate = (F.col("host_s") - p + of_host * prior) / (F.col("host_n") - 1 + of_host)
     joined = joined.withColumns({"classifier": p, "host_rate": host_rate})
     joined = joined.withColumn("path_rate", (F.col("s") - p + of_path * F.col("host_rate")) / (F.col("n") - 1 + of_path))

@@ -37,9 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = near_duplicates(docs, width=5, percent=80, by_row=True)
     row = ["doc_id", "text_hash"]
     docs = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
-    ids = groups.filter("not kept").select(*row).distinct()
-    gone = ids.count()
-    kept = sized_join(docs, ids.withColumn("_gone", F.lit(True)), row, gone, salt=F.col("text_hash")).filter("_gone is null").drop("_gone").select(*COLUMNS, "text_hash")
+    gone = stored(groups.filter("not kept").select(*row).distinct().withColumn("_gone", F.lit(True)), f"{scratch(spark)}/gone")
+    kept = sized_join(docs, gone, row, salt=F.col("text_hash")).filter("_gone is null").select(*COLUMNS, "text_hash")
     again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     if again.isEmpty():
         return kept.select(*COLUMNS)

@@ -216,11 +216,13 @@ def test_near_duplicates(spark, texts, width):
     assert [r[2:] for r in got if r[0] is None] == [(None, True)]
 
 
-def test_near_duplicates_in_tiles(spark, monkeypatch):
-    """A group whose members meet under the same keys without all being linked to the central one; with small tiles."""
+@pytest.mark.parametrize("hot", [4096, 5])
+def test_near_duplicates_in_tiles(spark, monkeypatch, hot):
+    """A group whose members meet under the same keys without all being linked to the central one; with small tiles and hot keys."""
     from codequarry.llm import minhash
 
     monkeypatch.setattr(minhash, "TILE", 4)
+    monkeypatch.setattr(minhash, "HOT", hot)
     rng = random.Random(2)
     base = [f"w{k}" for k in range(60)]
     docs = []
@@ -250,8 +252,8 @@ def test_mixing(spark):
 
     rng = random.Random(3)
     rows = [(k, "x" * rng.randrange(1, 90), "hot" if k % 3 else f"s{k % 15}") for k in range(3000)] + [(9001, None, "hot"), (9002, "", "empty"), (9003, "y" * 40, None), (5, rows_text := "z" * 40, "hot"), (5, rows_text, "hot")]
-    docs = table(spark, [(*r, 0) for r in rows], "doc_id long, text string, source string, mix_key int")
-    tokens = F.ceil(F.length("text") / 4)
+    docs = table(spark, [(*r, 0, 1, "x", 2, 3, 4, 5) for r in rows], "doc_id long, text string, source string, mix_key int, weight int, full string, blocks int, block int, cut_block int, _mix_source int")
+    tokens = F.ceil(F.octet_length("text") / 4)
     shares = source_shares(docs, tokens)
     e = fit_exponent(shares, entropy=0.9)
     total = {}
@@ -282,6 +284,7 @@ def test_mixing(spark):
             if t:
                 counts.setdefault(s, set()).add(max(v))
         assert all(max(v) - min(v) <= 1 for v in counts.values())
+        assert all(r["weight"] == 1 and r["full"] == "x" and r["_mix_source"] == 5 for r in out)
     assert wanted["hot"]["weight"] < wanted["hot"]["share"]
     assert mix(docs.limit(0)).collect() == []
 
