@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,16 +15,18 @@ def scratch(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; where that is unset (local tests) under a temporary folder, which is then set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="codequarry-")
+        local = tempfile.mkdtemp(prefix="codequarry-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        base = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/codequarry-{uuid.uuid4().hex}"
 
 
-def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Arrow batches of ``size`` at most, unless the session was given a limit of its own: the default of 64 MB is much memory beside whole texts."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if name not in spark.conf.getAll:
-        spark.conf.set(name, size)
+def bounded_batches(spark: SparkSession, size: str = "2m", rows: int = 512) -> None:
+    """Arrow batches of ``size`` and Parquet batches of ``rows`` at most, where the session was not given limits of its own: the defaults of 64 MB and 4,096 rows are much memory where a row is a whole text."""
+    for name, value in (("spark.sql.execution.arrow.maxBytesPerBatch", size), ("spark.sql.parquet.columnarReaderBatchSize", str(rows))):
+        if name not in spark.conf.getAll:
+            spark.conf.set(name, value)
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:

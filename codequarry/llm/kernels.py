@@ -7,6 +7,7 @@ state between rows.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,15 +20,23 @@ _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
 
 
-#: What operators keep in a Python worker from task to task: for each operator, how to let go of it.
-KEPT: dict[str, Callable[[], None]] = {}
+#: What operators keep in a Python worker from task to task: for each operator, how to let go of it, which tells whether there was anything.
+KEPT: dict[str, Callable[[], bool]] = {}
 
 
 def enter(operator: str) -> None:
-    """Called as an operator's function begins in a worker: what other operators have kept there goes."""
-    for name, drop in KEPT.items():
-        if name != operator:
-            drop()
+    """Called as an operator's function begins in a worker, which may have worked for others before: what they have kept goes, back to the system."""
+    if any([drop() for name, drop in KEPT.items() if name != operator]):
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # the GNU C library keeps what is freed unless asked
+            trim(0)
+
+
+def forget(kept: dict) -> bool:
+    """Empty a dictionary of things kept; whether there were any."""
+    some = bool(kept)
+    kept.clear()
+    return some
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

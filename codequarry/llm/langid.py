@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 from . import kernels as K
 from .common import bounded_batches
@@ -33,37 +32,38 @@ def labelled_sample(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     """The number of labelled texts and raw dictionary content of each language with any.
 
     Of each language about ``4 * dictionary_bytes / piece_chars`` texts are
-    drawn by a hash of id and text, twice as many at most, and always the one
-    with the least hash. A drawn text gives the piece of ``piece_chars``
-    characters at a hashed place of it (a shorter text all of it), equal texts
-    of one id once. Pieces fill the dictionary in the order of the hash. This
-    bounds what reaches the driver by the number of languages.
+    drawn by a hash of id and text, of all together twice as many at most. A
+    language that this leaves without any gets those with the least hashes. A
+    drawn text gives the piece of ``piece_chars`` characters at a hashed place
+    of it (a shorter text all of it), equal texts of one id once. Pieces fill
+    the dictionary in the order of the hash. This bounds what reaches the
+    driver by the number of languages.
     """
+    bounded_batches(docs.sparkSession)
     draws = 1 << 30
     per = max(1, 4 * dictionary_bytes // piece_chars)
     rows = docs.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"))
-    rows = rows.withColumn("draw", F.xxhash64("id", "text", F.lit(7)))
-    spare = F.greatest(F.length("text") - piece_chars, F.lit(0))
-    rows = rows.withColumn("piece", F.substring("text", (F.pmod(F.xxhash64("draw"), spare + 1) + 1).cast("int"), F.lit(piece_chars)))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min_by("piece", "draw").alias("least")).collect()  # a row for each language
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not counts:
         return {}
-    share = rows.sparkSession.createDataFrame([(r["lang"], int(min(1.0, per / r["n"]) * draws)) for r in counts], "lang string, upto long")
-    drawn = rows.join(F.broadcast(share), "lang").filter(F.pmod("draw", F.lit(draws)) < F.col("upto")).groupBy("lang", "draw").agg(F.min("piece").alias("piece"))
-    order = Window.partitionBy("lang").orderBy("draw")
-    drawn = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2 * per)
-    pieces: dict[str, dict[str, None]] = {r["lang"]: {} for r in counts}
-    for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["place"])):
+    spare = F.greatest(F.length("text") - piece_chars, F.lit(0))
+    piece = F.substring("text", (F.pmod(F.xxhash64("draw"), spare + 1) + 1).cast("int"), F.lit(piece_chars)).alias("piece")
+    rows = rows.withColumn("draw", F.xxhash64("id", "text", F.lit(7)))
+    share = rows.sparkSession.createDataFrame([(lang, int(min(1.0, per / n) * draws)) for lang, n in counts.items()], "lang string, upto long")
+    few = rows.join(F.broadcast(share), "lang").filter(F.pmod("draw", F.lit(draws)) < F.col("upto")).select("lang", "draw", piece).distinct()
+    drawn = few.orderBy("draw", "lang").limit(2 * per * len(counts)).collect()
+    for lang in set(counts) - {r["lang"] for r in drawn}:
+        drawn += rows.filter(F.col("lang") == lang).select("lang", "draw", piece).orderBy("draw").limit(per).collect()
+    pieces: dict[str, dict[str, None]] = {lang: {} for lang in counts}
+    for r in drawn:
         pieces[r["lang"]].setdefault(r["piece"])
-    for r in counts:
-        pieces[r["lang"]].setdefault(r["least"])
     found = {}
-    for r in counts:
-        content, held = b"", (p.encode(errors="replace") + b"\n" for p in pieces[r["lang"]])
+    for lang, n in sorted(counts.items()):
+        content, held = b"", (p.encode(errors="replace") + b"\n" for p in pieces[lang])
         while len(content) < dictionary_bytes and (more := next(held, None)):
             content += more
-        found[r["lang"]] = (r["n"], content[:dictionary_bytes])
-    return dict(sorted(found.items()))
+        found[lang] = (n, content[:dictionary_bytes])
+    return found
 
 
 class Classifier:

@@ -16,6 +16,7 @@ Many cursors, one for each stretch of the text, move at the same time.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -164,7 +165,17 @@ def _classes(patterns: list[bytes]) -> list[list[int]]:
 
 
 class Matcher:
-    """All searchers of one block of patterns."""
+    """All searchers of one block of patterns. A worker keeps those of the block that it last searched for."""
+
+    _kept: dict[str, "Matcher"] = {}
+
+    @classmethod
+    def of(cls, name: str, block) -> "Matcher":
+        """The searchers of a broadcast block, whose name is its own."""
+        if name not in cls._kept:
+            cls._kept.clear()
+            cls._kept[name] = cls(block.value)
+        return cls._kept[name]
 
     def __init__(self, found: dict[bytes, set[str]]) -> None:
         self.patterns = sorted(found)
@@ -181,11 +192,14 @@ class Matcher:
         return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
 
 
-def _searching(broadcast, extra: int, schema: pa.Schema):
+K.KEPT["benchmark"] = lambda: K.forget(Matcher._kept)
+
+
+def _searching(broadcast, name: str | None, extra: int, schema: pa.Schema):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             K.enter("benchmark")
-            matcher = Matcher(broadcast.value) if broadcast.value else None
+            matcher = Matcher.of(name, broadcast) if name else None
             for batch in batches:
                 text_at, spans_at, items_at = extra, extra + 2, extra + 3
                 for first, end, data, bounds in K.text_slices(batch.column(text_at), _ENDING):
@@ -258,7 +272,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     folder, n = None, 0
     while block is not None:
         following = next(blocks, None)
-        state = state.mapInArrow(_searching(spark.sparkContext.broadcast(block), len(carry), schema), kind)
+        state = state.mapInArrow(_searching(spark.sparkContext.broadcast(block), uuid.uuid4().hex if block else None, len(carry), schema), kind)
         if following is not None:
             folder = folder or scratch(spark)
             state = stored(state, f"{folder}/{(n := n + 1)}")
