@@ -73,9 +73,11 @@ def op8_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secrets import example_findings, scan, train
+    from .secrets import example_findings, learn_words, scan, train
 
-    return scan(_read(spark, sf_dir, "documents"), train(example_findings(spark)))
+    docs = _read(spark, sf_dir, "documents")
+    learned = learn_words(docs)
+    return scan(docs, train(example_findings(spark), learned), learned)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
