@@ -1,6 +1,7 @@
 """Quality by hierarchical empirical Bayes.
 
-A logistic classifier on text statistics gives each document its own evidence.
+A logistic classifier on text statistics and on words, both weighed by labelled
+documents, gives each document its own evidence.
 Grouped sums of its probabilities give hosts and paths (a path is a part of a
 host) posterior rates: a path shrinks towards its host and a host towards the
 whole corpus, by as much as the observed spread of rates asks for. A document's
@@ -20,6 +21,8 @@ from . import kernels as K
 from .common import bounded_batches, scratch, sized_join, stored
 
 MOST_LABELLED = 20_000
+#: Word features: a word counts for one of so many buckets of its hash.
+BUCKETS = 256
 _KINDS = {"upper": range(65, 91), "digit": range(48, 58), "line": [10], "pipe": [0x7C], "stop": [0x2E, 0x3F], "comma": [0x2C], "bang": [0x21], "mark": [0x23, 0x24, 0x25, 0x26, 0x2A, 0x40, 0x5E, 0x7E, 0x3C, 0x3E, 0x7B, 0x7D]}
 
 
@@ -53,10 +56,22 @@ def features(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     shares = np.log1p(200 * counts / size[:, None])
     rest = np.stack([np.log1p(n_words), np.log1p(size), size / some / 10, np.log1p(20 * np.maximum(again, 0) / some), distinct / np.sqrt(some) / 10, distinct / some], 1)
     x = np.concatenate([shares, rest], 1)
-    return np.concatenate([x, x * x], 1)
+    return np.concatenate([x, x * x, _word_shares(words, n_words)], 1)
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def _word_shares(words: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """For each text and bucket the root of the share of its words that fall into the bucket."""
+    row = np.repeat(np.arange(len(n_words)), n_words)
+    counts = np.bincount(row * BUCKETS + (words >> np.uint64(56)).astype(np.int64) % BUCKETS, minlength=len(n_words) * BUCKETS).reshape(-1, BUCKETS)
+    return np.sqrt(counts / np.maximum(n_words, 1)[:, None])
+
+
+def width() -> int:
+    """Features of a text."""
+    return 2 * (len(_KINDS) + 6) + BUCKETS
+
+
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 3.0, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Ridge logistic regression by Newton steps: (means, scales, weights, intercept). With fewer than two classes the weights are 0."""
     mean, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     rate = (y.sum() + 0.5) / (len(y) + 1)
@@ -92,14 +107,21 @@ def _map_features(docs: DataFrame, carry: list[str], kinds: str, make, arrow: li
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED):
-    """The classifier, fitted on about ``most`` labelled documents at most, drawn by a hash of the id. An id labelled more than once has its commonest label, 1 where even; null labels and ids are left out."""
+    """The classifier, fitted on about ``most`` labelled documents, drawn by a hash of the id, and twice as many at most.
+
+    An id labelled more than once has its commonest label, 1 where even; null
+    labels and ids are left out. Of an id that is repeated in docs one text
+    counts, that with the smallest hash.
+    """
     rows = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).dropna().groupBy("id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
     n = rows.count()
-    drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, most / max(n, 1)) * (1 << 30)))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").select("y", "text")
-    got = _map_features(texts, ["y"], "y double, x array<double>", lambda x, kind: pa.array(list(x), kind), [("y", pa.float64()), ("x", pa.list_(pa.float64()))]).collect()
-    width = 2 * (len(_KINDS) + 6)
-    return fit(np.array([r["x"] for r in got], float).reshape(len(got), width), np.array([r["y"] for r in got], float))
+    drawn = rows.withColumn("draw", F.xxhash64("id", F.lit(3))).filter(F.pmod("draw", F.lit(1 << 30)) < int(min(1.0, most / max(n, 1)) * (1 << 30)))
+    drawn = stored(drawn.orderBy("draw").limit(2 * most).drop("draw"), f"{scratch(docs.sparkSession)}/drawn")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").select("id", "y", F.xxhash64("text").alias("mark"), "text")
+    pack = lambda x, kind: pa.array([r.tobytes() for r in x.astype("<f4")], kind)
+    got = _map_features(texts, ["id", "y", "mark"], "id long, y double, mark long, x binary", pack, [("id", pa.int64()), ("y", pa.float64()), ("mark", pa.int64()), ("x", pa.binary())])
+    got = got.groupBy("id").agg(F.min_by(F.struct("y", "x"), "mark").alias("r")).select("r.*").collect()  # 2 * most rows at most
+    return fit(np.array([np.frombuffer(r["x"], "<f4") for r in got], float).reshape(len(got), width()), np.array([r["y"] for r in got], float))
 
 
 def _strength(groups: DataFrame, s: str, n: str, prior: Column) -> float:
