@@ -27,8 +27,9 @@ from pyspark.sql.window import Window
 
 from .common import scratch, stored
 
-SAMPLE, LISTS_PER_ROOT, MOST_LISTS = 20_000, 1.0, 4096
-PROBE_SHARE = 0.75
+SAMPLE, LISTS_PER_ROOT, MOST_LISTS = 20_000, 2.0, 4096
+#: Of the true neighbours within the sample, the share whose lists are probed, and the sample's queries that this is measured on.
+REACHED, TRIALS = 0.96, 512
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 1024
 GROUP = 16
 #: Width of the test in standard errors of the scaled partial distance.
@@ -67,6 +68,30 @@ def _nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     return np.take_along_axis(part, np.take_along_axis(d, part, 1).argsort(1), 1)
 
 
+def probe_share(sample: np.ndarray, c: np.ndarray, k: int, reached: float = REACHED, trials: int = TRIALS, seed: int = 9) -> float:
+    """The share of the lists that must be probed to reach ``reached`` of the k nearest, as measured within the sample.
+
+    Neighbours in a sample are farther away than in the whole, so their lists
+    are, too: the share errs on the safe side. Vectors in clusters need few
+    lists; vectors that lie about evenly on a sphere need many, whatever the
+    index.
+    """
+    if len(sample) < 2 or len(c) < 2:
+        return 1.0
+    at = np.random.default_rng(seed).permutation(len(sample))[:trials]
+    lists, ranks = _nearest(sample, c, 1)[:, 0], []
+    for some in np.array_split(at, max(1, len(at) // 64)):
+        q = sample[some]
+        d = (sample * sample).sum(1)[None, :] - 2 * q @ sample.T
+        d[np.arange(len(some)), some] = np.inf
+        near = np.argpartition(d, min(k, len(sample) - 1) - 1, axis=1)[:, : min(k, len(sample) - 1)]
+        order = _nearest(q, c, len(c))
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(len(c))[None, :], 1)
+        ranks.append(np.take_along_axis(place, lists[near], 1).ravel())
+    return (float(np.quantile(np.concatenate(ranks), reached, method="higher")) + 1) / len(c)
+
+
 def sound(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id, vector: rows that take part. Those with a null id, or a vector that is null, empty, zero or holds null or non-finite components don't; nor do vectors of another length than the commonest (of equally common ones the longest)."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
@@ -105,15 +130,16 @@ def _best(q: np.ndarray, vectors: np.ndarray, ids: list, k: int) -> list[tuple[f
     return sorted((float(far[j]), int(i)) for j in np.flatnonzero(far <= top) for i in ids[j])[:k]
 
 
-def neighbours(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, probe_share: float = PROBE_SHARE, epsilon: float = EPSILON) -> DataFrame:
+def neighbours(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, probed: float | None = None, epsilon: float = EPSILON) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest by Euclidean distance of every row whose id is divisible by ``every``, ties to the smaller id.
 
     A query's candidates are all rows but those of its own id. Rows that
     ``sound`` leaves out take no part. Rows repeated whole are one row; an id
     with several vectors is several rows, and a query with its first vector.
     Rotation and centres are fitted on a hash sample of about ``sample`` vectors,
-    every row is indexed. ``probe_share`` of the lists is probed, and as many more
-    as it takes to find k candidates if there are so many.
+    every row is indexed. The share ``probed`` of the lists is probed, by default
+    what ``probe_share`` finds, and as many more as it takes to find k
+    candidates if there are so many.
     """
     spark = df.sparkSession
     folder = scratch(spark)
@@ -130,7 +156,7 @@ def neighbours(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_
     turn = rotation(fitted.shape[1])
     fitted = fitted @ turn
     c = centres(fitted, max(1, min(MOST_LISTS, int(LISTS_PER_ROOT * n**0.5))))
-    probes = max(1, int(np.ceil(probe_share * len(c))))
+    probes = max(1, int(np.ceil((probe_share(fitted, c, k) if probed is None else probed) * len(c))))
     model = spark.sparkContext.broadcast((turn, c, fitted[: 4 * SAMPLE // 20]))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
