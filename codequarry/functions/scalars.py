@@ -14,6 +14,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once for a row, however often the body refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def extension(path: Column | str) -> Column:
     """Lower-case extension with its dot; empty for names without one. A leading dot doesn't begin an extension."""
     return F.lower(F.regexp_extract(file_name(path), r"^.+?(\.[^.]+)$", 1))
@@ -61,17 +66,20 @@ def line_count(text) -> Column:
     return (F.char_length(_c(text)) - F.char_length(F.replace(_c(text), F.lit("\n"), F.lit(""))) + 1).cast("long")
 
 
+#: Fixed value: the characters that Python's str.strip() takes for white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text) -> Column:
     """Without white space at both ends, as Python strips it."""
-    return F.regexp_replace(_c(text), r"^[\s\u0085   -     　\x1C-\x1F]+|[\s\u0085   -     　\x1C-\x1F]+$", "")
+    return F.btrim(_c(text), F.lit(WHITE_SPACE))
 
 
 def hash_embedding(text, dim: int) -> Column:
     """Unit vector of array<double> made of the SHA-256 digest's eight 32-bit words, repeated to ``dim``."""
-    digest = F.sha2(_c(text), 256)
-    words = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(digest, i * 8 + 1, F.lit(8)), 16, 10).cast("double") / 4294967296.0)
-    full = F.flatten(F.array_repeat(words, -(-dim // 8)))
-    return unit(F.slice(full, 1, dim))
+    starts = F.array(*(F.lit(i * 8 + 1) for i in range(8)))
+    words = let(F.sha2(_c(text), 256), lambda d: F.transform(starts, lambda i: F.conv(F.substring(d, i, F.lit(8)), 16, 10).cast("double") / 4294967296.0))
+    return unit(F.slice(F.flatten(F.array_repeat(words, -(-dim // 8))), 1, dim))
 
 
 def dot(a, b) -> Column:
@@ -83,7 +91,7 @@ def squared_distance(a, b) -> Column:
 
 
 def unit(v) -> Column:
-    return F.transform(_c(v), lambda x: x / F.sqrt(dot(v, v)))
+    return let(_c(v), lambda w: let(F.sqrt(dot(w, w)), lambda norm: F.transform(w, lambda x: x / norm)))
 
 
 def cosine(a, b) -> Column:
@@ -102,7 +110,7 @@ def similarity(a, b, metric: str = "cosine") -> Column:
 
 def doc_summary(docstring) -> Column:
     """First line of the stripped docstring; null if there is none."""
-    return F.nullif(F.split(strip(docstring), "\n")[0], F.lit(""))
+    return F.nullif(F.substring_index(strip(docstring), "\n", 1), F.lit(""))
 
 
 def enriched_text(cite, language, qualified, summary, imports, code) -> Column:
@@ -153,13 +161,17 @@ def question_type(question) -> Column:
 
 def keyword_relevance(words, scope, file, code, summary, question) -> Column:
     """Relevance of a chunk: 5, 3, 2 and 2.5 for each keyword in scope, file, code and summary; 10 more if the question names the scope, else 2 for each of the scope's parts in it."""
-    low = lambda x: F.lower(F.coalesce(_c(x), F.lit("")))
-    gain = lambda text, k, w: F.when(low(text).contains(k), F.lit(w)).otherwise(F.lit(0.0))
-    each = F.aggregate(_c(words), F.lit(0.0), lambda s, k: s + gain(scope, k, 5.0) + gain(file, k, 3.0) + gain(code, k, 2.0) + gain(summary, k, 2.5))
-    q = F.lower(_c(question))
-    parts = F.size(F.filter(F.split(F.replace(low(scope), F.lit("-"), F.lit("_")), "_"), lambda p: (p != "") & q.contains(p)))
-    named = F.when((low(scope) == "") | (_c(scope) == "<anonymous>"), F.lit(0.0)).when(q.contains(low(scope)), F.lit(10.0)).otherwise(parts * 2.0)
-    return each + named
+    fields = {"scope": (scope, 5.0), "file": (file, 3.0), "code": (code, 2.0), "summary": (summary, 2.5)}
+    lowered = F.struct(*(F.lower(F.coalesce(_c(c), F.lit(""))).alias(n) for n, (c, _) in fields.items()), F.lower(_c(question)).alias("question"))
+
+    def total(t: Column) -> Column:
+        gain = lambda k: reduce(lambda a, b: a + b, (F.when(t[n].contains(k), F.lit(w)).otherwise(F.lit(0.0)) for n, (_, w) in fields.items()))
+        each = F.aggregate(_c(words), F.lit(0.0), lambda s, k: s + gain(k))
+        parts = F.size(F.filter(F.split(F.replace(t["scope"], F.lit("-"), F.lit("_")), "_"), lambda p: (p != "") & t["question"].contains(p)))
+        named = F.when(t["scope"].isin("", "<anonymous>"), F.lit(0.0)).when(t["question"].contains(t["scope"]), F.lit(10.0)).otherwise(parts * 2.0)
+        return each + named
+
+    return let(lowered, total)
 
 
 def block_header(i, n, cite, score, source) -> Column:
@@ -186,6 +198,11 @@ def keyword_recall(words, answer) -> Column:
     return F.when(F.size(_c(words)) == 0, 1.0).otherwise(F.size(F.filter(_c(words), lambda k: F.lower(_c(answer)).contains(F.lower(k)))) / F.size(_c(words)))
 
 
+def distinct_citations(citations) -> Column:
+    """Each citation once, in the order of its first mention."""
+    return F.array_distinct(_c(citations))
+
+
 def chunk_json(*columns: str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 

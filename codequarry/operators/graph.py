@@ -102,6 +102,11 @@ def neighbors(edges: DataFrame, seeds: DataFrame, depth: int, types: list[str] |
     return seen.filter("depth > 0")
 
 
+def in_order(reach: DataFrame, nodes: DataFrame) -> DataFrame:
+    """What ``neighbors`` found with the nodes' columns, in the order of seed, file and line; nodes that stand for no chunk are left out."""
+    return reach.join(nodes, "node_id").orderBy("seed", "file_path", "start_line", "node_id")
+
+
 def expand(ranked: DataFrame, reach: DataFrame, decay: float, per_hop: bool = False) -> DataFrame:
     """(query_id, node_id, score): unseen neighbours of ranked results (query_id, node_id, rank, score), each from its best-ranked seed, whose score it has times ``decay`` (for every hop if per_hop)."""
     pairs = ranked.select("query_id", F.col("node_id").alias("seed"), "rank", "score").join(reach, "seed").join(ranked.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
@@ -109,13 +114,14 @@ def expand(ranked: DataFrame, reach: DataFrame, decay: float, per_hop: bool = Fa
     return pairs.groupBy("query_id", "node_id").agg(F.min_by(F.col("score") * factor, F.struct("rank", "depth")).alias("score"))
 
 
-def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node_id, calls, called_by: neighbours' names, sorted and joined, or (none); external nodes are left out."""
+def summary(nodes: DataFrame, edges: DataFrame, file_path: str | None = None) -> DataFrame:
+    """node_id, calls, called_by: neighbours' names, sorted and joined, or (none); external nodes are left out, and with ``file_path`` the nodes of other files."""
     inside = edges.filter("edge_type = 'calls'").join(nodes.filter("node_type <> 'external'").select(F.col("node_id").alias("target")), "target")
     text = lambda c: F.coalesce(F.nullif(F.array_join(F.array_sort(F.collect_set(c)), ", "), F.lit("")), F.lit("(none)"))
     out = inside.groupBy(F.col("source").alias("node_id")).agg(text("target").alias("calls"))
     back = inside.groupBy(F.col("target").alias("node_id")).agg(text("source").alias("called_by"))
-    return nodes.filter("node_type <> 'external'").select("node_id").join(out, "node_id", "left").join(back, "node_id", "left").fillna("(none)").orderBy("node_id")
+    shown = nodes.filter(F.col("file_path") == file_path) if file_path is not None else nodes
+    return shown.filter("node_type <> 'external'").select("node_id").join(out, "node_id", "left").join(back, "node_id", "left").fillna("(none)").orderBy("node_id")
 
 
 def write_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:

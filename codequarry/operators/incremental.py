@@ -28,3 +28,8 @@ def manifest_of(files: DataFrame, chunks: DataFrame) -> DataFrame:
 def status(manifest: DataFrame) -> DataFrame:
     """One row: n_files, n_chunks (chunk_count, or the number of chunk_ids), last_indexed."""
     return manifest.agg(F.count("*").alias("n_files"), F.coalesce(F.sum(F.coalesce("chunk_count", F.size("chunk_ids"))), F.lit(0)).cast("long").alias("n_chunks"), F.max("indexed_at").alias("last_indexed"))
+
+
+def undescribed(rows: DataFrame, described: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Rows whose key has no description yet."""
+    return rows.join(described.select(key), key, "left_anti")

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import scratch
 from ..functions import fixed
 from ..functions import scalars as S
 from ..operators import graph, incremental, retrieval
 from ..sources import files as source_files
+from ..sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -69,8 +71,7 @@ def detect_language(spark, d):
 
 @query("SELECT count(*) AS visited, count(*) FILTER (WHERE lang = 'es' OR n_chars > 5000) AS skipped, count(*) FILTER (WHERE lang <> 'es' AND n_chars <= 5000) AS yielded FROM documents")
 def walk_counts(spark, d):
-    kept = source_files.wanted_file(F.col("file_path"), F.col("n_chars"), None, 5000)
-    return _files(spark, d).agg(F.count("*").alias("visited"), F.count_if(~kept).alias("skipped"), F.count_if(kept).alias("yielded"))
+    return source_files.tally(_files(spark, d), source_files.wanted_file(F.col("file_path"), F.col("n_chars"), None, 5000))
 
 
 @query("SELECT page_id, split_part(url, '/', 4) AS owner, regexp_replace(split_part(url, '/', 5), '[^0-9].*$', '') AS repo FROM pages")
@@ -125,16 +126,26 @@ def token_split(spark, d):
     return read(spark, d, "documents").select("doc_id", "text").mapInPandas(split, "doc_id long, split_index int, start_line long, end_line long")
 
 
-@query("SELECT * FROM (VALUES (1, 'import os|from a.b import c'), (2, ''), (3, 'import json')) t(id, imports)")
+# Every document as a body of code: what stands before and after its text are import lines that differ from document to document.
+_IMPORTS_SQL = "CASE doc_id % 3 WHEN 0 THEN 'import m' || doc_id % 7 || '|from pack' || doc_id % 5 || '.sub import c' WHEN 1 THEN '' ELSE 'import json' END"
+
+
+@query(f"SELECT doc_id, {_IMPORTS_SQL} AS imports FROM documents WHERE NOT regexp_matches(text, '(^|\\n)\\s*(import|from) ')")
 def local_imports(spark, d):
-    rows = [(1, "def f():\n    import os\n\tfrom a.b import c\n    import os\n"), (2, "x = 1"), (3, "import json\nimportant = 2")]
-    return spark.createDataFrame(rows, "id int, code string").select("id", F.array_join(S.local_imports("code"), "|").alias("imports"))
+    docs = read(spark, d, "documents").filter(~F.col("text").rlike(r"(?m)^\s*(import|from) "))
+    one = F.concat(F.lit("def f():\n    import m"), F.col("doc_id") % 7, F.lit("\n\tfrom pack"), F.col("doc_id") % 5, F.lit(".sub import c\n"), "text", F.lit("\n    import m"), F.col("doc_id") % 7, F.lit("\n"))
+    code = F.when(F.col("doc_id") % 3 == 0, one).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("x = 1\n"), "text")).otherwise(F.concat(F.lit("import json\nimportant = 2\n"), "text"))
+    return docs.select("doc_id", F.array_join(S.local_imports(code), "|").alias("imports"))
 
 
-@query("SELECT * FROM (VALUES (1, 'os'), (2, 'a'), (3, 'utils'), (4, 'lib'), (5, NULL), (6, 'helpers')) t(id, module)")
+@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'm' || doc_id WHEN 1 THEN source WHEN 2 THEN 'u' || doc_id WHEN 3 THEN 'lib' || doc_id WHEN 4 THEN NULL ELSE 'h' || doc_id END AS module FROM documents")
 def import_module(spark, d):
-    rows = [(1, "import os, sys", "python"), (2, "from a.b import c", "python"), (3, "import { foo } from './utils';", "javascript"), (4, 'import x from "../../lib/deep"', "typescript"), (5, "import 'side-effect'", "javascript"), (6, "import h from './helpers.js'", "javascript")]
-    return spark.createDataFrame(rows, "id int, s string, l string").select("id", S.import_module("s", "l").alias("module"))
+    docs = read(spark, d, "documents")
+    said = ["import m{} , sys", "from {s}.b import c", "import {{ foo }} from './u{}';", 'import x from "../../lib{}/deep"', "import 'side-effect-{}'", "import h from './h{}.js'"]
+    shapes = [F.replace(F.replace(F.lit(x.replace("{{", "{").replace("}}", "}")), F.lit("{}"), F.col("doc_id").cast("string")), F.lit("{s}"), F.col("source")) for x in said]
+    statement = F.element_at(F.array(*shapes), (F.col("doc_id") % 6 + 1).cast("int"))
+    language = F.element_at(F.array(*(F.lit(x) for x in ("python", "python", "javascript", "typescript", "javascript", "javascript"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    return docs.select("doc_id", S.import_module(statement, language).alias("module"))
 
 
 @query(
@@ -197,7 +208,10 @@ def vector_topk_l2(spark, d):
 
 @query(f"SELECT e.vec_id, {_COSINE} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.label = 3 ORDER BY score DESC, vec_id LIMIT 8")
 def vector_topk_where(spark, d):
-    return _near(spark, d).filter("label = 3").select("vec_id", "score").orderBy(F.desc("score"), "vec_id").limit(8)
+    held = store.ephemeral(spark, "vec_id long, label int, embedding array<double>", key="vec_id", deal_by="vec_id", buckets=8)
+    held.upsert(read(spark, d, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")))
+    asked = held.get_by_id(0).first()  # one row
+    return held.query(list(asked["embedding"]), 8, {"label": 3}, digits=6).select("vec_id", "score")
 
 
 def _batch(spark, d):
@@ -257,7 +271,7 @@ def context_text(spark, d):
 def graph_expand(spark, d):
     e = read(spark, d, "embeddings")
     edges = e.select(F.col("vec_id").cast("string").alias("source"), F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id")).cast("string").alias("target"), F.lit("calls").alias("edge_type")).filter("target is not null")
-    ranked = _batch(spark, d).withColumn("node_id", F.col("vec_id").cast("string")).select("query_id", "node_id", "rank", "score")
+    ranked = scratch.stored(_batch(spark, d).withColumn("node_id", F.col("vec_id").cast("string")).select("query_id", "node_id", "rank", "score"), f"{scratch.folder(spark)}/ranked")
     reach = graph.neighbors(edges, ranked.select(F.col("node_id").alias("seed")).distinct(), 1)
     more = graph.expand(ranked, reach, fixed.EXPANSION_DECAY).select("query_id", "node_id", F.round("score", 7).alias("score"), F.lit("graph_expansion").alias("source"))
     all_ = ranked.select("query_id", "node_id", "score", F.lit("vector_search").alias("source")).unionByName(more)
@@ -267,27 +281,42 @@ def graph_expand(spark, d):
 # ---------------------------------------------------------------- store and manifest
 
 
+def _document_store(spark, d):
+    held = store.ephemeral(spark, "doc_id long, source string, lang string, n_chars long", key="doc_id", deal_by="source", buckets=8)
+    held.upsert(read(spark, d, "documents").select("doc_id", "source", "lang", F.col("n_chars").cast("long").alias("n_chars")))
+    return held
+
+
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id = 17")
 def get_by_id(spark, d):
-    return read(spark, d, "documents").filter("doc_id = 17").select("doc_id", "lang", "n_chars")
+    return _document_store(spark, d).get_by_id(17).select("doc_id", "lang", "n_chars")
 
 
 @query("SELECT doc_id FROM documents WHERE source = 'src3'")
 def file_chunk_ids(spark, d):
-    return read(spark, d, "documents").filter("source = 'src3'").select("doc_id")
+    return _document_store(spark, d).file_chunk_ids("src3")
+
+
+def _order_store(spark, d):
+    held = store.ephemeral(spark, "o_orderkey long, o_custkey long, o_orderstatus string", key="o_orderkey", deal_by="o_orderkey", buckets=8)
+    held.upsert(read(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_custkey").cast("long").alias("o_custkey"), "o_orderstatus"))
+    return held
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT -o_orderkey, 'new' FROM orders WHERE o_orderstatus = 'P' AND o_orderkey > 0")
 def upsert(spark, d):
-    old = read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    new = old.filter("o_orderstatus = 'F'").select("o_orderkey", F.lit("new").alias("o_orderstatus")).unionByName(old.filter("o_orderstatus = 'P' and o_orderkey > 0").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("new").alias("o_orderstatus")))
-    return old.join(new, "o_orderkey", "left_anti").unionByName(new)
+    held = _order_store(spark, d)
+    changed = held.read().filter("o_orderstatus = 'F'").withColumn("o_orderstatus", F.lit("new"))
+    added = held.read().filter("o_orderstatus = 'P' and o_orderkey > 0").select((-F.col("o_orderkey")).alias("o_orderkey"), "o_custkey", F.lit("new").alias("o_orderstatus"))
+    held.upsert(changed.unionByName(added))
+    return held.read().select("o_orderkey", "o_orderstatus")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'P'")
 def delete(spark, d):
-    orders = read(spark, d, "orders")
-    return orders.join(orders.filter("o_orderstatus = 'P'").select("o_orderkey"), "o_orderkey", "left_anti").select("o_orderkey", "o_custkey")
+    held = _order_store(spark, d)
+    held.delete(read(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").cast("long").alias("o_orderkey")))
+    return held.read().select("o_orderkey", "o_custkey")
 
 
 _MANIFEST = "(SELECT CASE WHEN lang = 'fr' THEN 'gone/' ELSE 'src/' END || doc_id AS file_path, CASE WHEN lang = 'de' THEN 'x' ELSE sha256(text) END AS was FROM documents WHERE lang <> 'es')"
@@ -320,7 +349,7 @@ def index_status(spark, d):
 
 @query("SELECT d.doc_id FROM documents d WHERE d.lang = 'en' AND d.doc_id NOT IN (SELECT doc_id FROM labels)")
 def needs_docgen(spark, d):
-    return read(spark, d, "documents").filter("lang = 'en'").join(read(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id")
+    return incremental.undescribed(read(spark, d, "documents").filter("lang = 'en'").select("doc_id"), read(spark, d, "labels"), "doc_id")
 
 
 @query("SELECT source, count(*) AS n_results FROM documents GROUP BY source")
@@ -465,8 +494,8 @@ def question_type(spark, d):
 
 @query("SELECT conv_id, string_agg(role, ',' ORDER BY t, role) AS roles FROM (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY ALL) GROUP BY conv_id")
 def citations_distinct(spark, d):
-    first = read(spark, d, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("t"))
-    return first.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "role"))), lambda x: x["role"]), ",").alias("roles"))
+    said = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("said"))
+    return said.select("conv_id", F.array_join(S.distinct_citations(F.transform("said", lambda x: x["role"])), ",").alias("roles"))
 
 
 @query("SELECT c_nationkey, c_custkey, c_acctbal AS score FROM (SELECT *, max(c_acctbal) OVER (PARTITION BY c_nationkey, c_mktsegment) AS m FROM customer) WHERE c_acctbal > 0 OR m <= 0")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,7 +14,9 @@ def folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; where that is unset, as in local tests, under a temporary folder, which is then set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="codequarry-")
+        local = tempfile.mkdtemp(prefix="codequarry-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        base = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/codequarry-{uuid.uuid4().hex}"
 

@@ -132,10 +132,14 @@ def scan_files(spark: SparkSession, root: str, languages: list[str] | None = Non
     return files.select("path", "relative_path", extension(p).alias("extension"), "size_bytes", detect_language(extension(p)).alias("language"))
 
 
-def scan_counts(spark: SparkSession, root: str, **options) -> DataFrame:
+def tally(files: DataFrame, keep: Column) -> DataFrame:
     """One row: visited, skipped and yielded files."""
-    kept = scan_files(spark, root, **options).agg(F.count("*").alias("yielded"))
-    return list_tree(spark, root, options.get("cascade", True)).agg(F.count_if(~F.col("is_dir")).alias("visited")).crossJoin(kept).select("visited", (F.col("visited") - F.col("yielded")).alias("skipped"), "yielded")
+    return files.agg(F.count("*").alias("visited"), F.count_if(~keep).alias("skipped"), F.count_if(keep).alias("yielded"))
+
+
+def scan_counts(spark: SparkSession, root: str, languages: list[str] | None = None, max_bytes: int = fixed.MAX_FILE_BYTES, cascade: bool = True) -> DataFrame:
+    """The tally of the files that a scan of root meets."""
+    return tally(list_tree(spark, root, cascade).filter(~F.col("is_dir")), ~F.col("ignored") & wanted_file(F.col("relative_path"), F.col("size_bytes"), languages, max_bytes))
 
 
 def with_content(files: DataFrame) -> DataFrame:

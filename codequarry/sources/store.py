@@ -6,6 +6,9 @@ staged beside the table, then put in place by a dynamic partition overwrite.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Protocol
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,20 @@ from .. import scratch
 from ..functions.scalars import similarity
 
 
+class Store(Protocol):
+    """What the engine asks of a store of chunks."""
+
+    def read(self) -> DataFrame: ...
+    def upsert(self, rows: DataFrame) -> None: ...
+    def delete(self, keys: DataFrame, by: str | None = None) -> None: ...
+    def clear(self) -> None: ...
+    def count(self) -> int: ...
+    def get_by_id(self, key: str) -> DataFrame: ...
+    def get_many(self, keys: DataFrame) -> DataFrame: ...
+    def file_chunk_ids(self, file_path: str) -> DataFrame: ...
+    def query(self, vector: list[float], k: int, where: dict | None = None, digits: int | None = None) -> DataFrame: ...
+
+
 class ChunkStore:
     """Rows with a key column, kept under ``path``; ``schema`` is a DDL string. metric: cosine or l2."""
 
@@ -79,10 +96,26 @@ class ChunkStore:
     def file_chunk_ids(self, file_path: str) -> DataFrame:
         return self._all().filter((F.col("bucket") == F.pmod(F.xxhash64(F.lit(file_path)), F.lit(self.buckets)).cast("int")) & (F.col(self.deal_by) == file_path)).select(self.key)
 
-    def query(self, vector: list[float], k: int, where: dict | None = None) -> DataFrame:
-        """The k rows nearest to vector with their score, best first, ties by key; ``where`` holds equalities tested before."""
+    def query(self, vector: list[float], k: int, where: dict | None = None, digits: int | None = None) -> DataFrame:
+        """The k rows nearest to vector with their score, best first, ties by key; ``where`` holds equalities tested before, ``digits`` rounds scores before they are ranked."""
         rows = self.read()
         for name, value in (where or {}).items():
             rows = rows.filter(F.col(name) == value)
         score = similarity(F.col("embedding"), F.array(*map(F.lit, map(float, vector))), self.metric)
-        return rows.withColumn("score", score).orderBy(F.desc("score"), self.key).limit(k)
+        return rows.withColumn("score", F.round(score, digits) if digits is not None else score).orderBy(F.desc("score"), self.key).limit(k)
+
+
+def ephemeral(spark: SparkSession, schema: str, **options) -> ChunkStore:
+    """An empty store in a new scratch folder, for what needn't outlive the session's scratch space."""
+    return ChunkStore(spark, f"{scratch.folder(spark)}/store", schema, **options)
+
+
+#: Stores by the name of their kind; each takes (spark, path, schema, **options).
+BACKENDS: dict[str, Callable[..., Store]] = {"parquet": ChunkStore, "ephemeral": lambda spark, path, schema, **options: ephemeral(spark, schema, **options)}
+
+
+def open_store(kind: str, spark: SparkSession, path: str, schema: str, **options) -> Store:
+    """A store of a kind of ``BACKENDS``; ValueError for others."""
+    if kind.lower() not in BACKENDS:
+        raise ValueError(f"unknown store {kind!r}; there are {', '.join(sorted(BACKENDS))}")
+    return BACKENDS[kind.lower()](spark, path, schema, **options)
