@@ -150,34 +150,48 @@ _CLOSING = {"(": ")", "[": "]", "{": "}"}
 
 
 def _tokens(source: str) -> tuple[list[tuple[str, str, int, int]], bool]:
-    """(kind, text, start, end) of every token; whether all was understood. A template literal is one string; code inside it is not looked at."""
+    """(kind, text, start, end) of every token; whether all was understood. A template literal is a string for each of its plain parts, with the tokens of ``${...}`` between braces."""
     out: list[tuple[str, str, int, int]] = []
     at, sound = 0, True
+    braces: list[int] = []  # open braces within each ``${`` that is open
+
+    def template(begin: int, inside: int) -> int:
+        """Take the plain part of a template that begins at ``begin``; where the tokens go on after it."""
+        nonlocal sound
+        end = inside
+        while end < len(source) and source[end] != "`" and not source.startswith("${", end):
+            end += 2 if source[end] == "\\" else 1
+        if end >= len(source):
+            sound = False
+            out.append(("string", "`", begin, len(source)))
+            return len(source)
+        if source[end] == "`":
+            out.append(("string", "`", begin, end + 1))
+            return end + 1
+        out.append(("string", "`", begin, end + 1))
+        out.append(("sign", "{", end + 1, end + 2))
+        braces.append(0)
+        return end + 2
+
     while at < len(source):
         if source[at] == "`":
-            end, depth = at + 1, 0
-            while end < len(source) and (source[end] != "`" or depth):
-                if source[end] == "\\":
-                    end += 1
-                elif source.startswith("${", end):
-                    depth, end = depth + 1, end + 1
-                elif source[end] == "}" and depth:
-                    depth -= 1
-                end += 1
-            sound &= end < len(source)
-            out.append(("string", "`", at, min(end + 1, len(source))))
+            at = template(at, at + 1)
+        elif source[at] == "}" and braces and not braces[-1]:
+            braces.pop()
+            out.append(("sign", "}", at, at + 1))
+            at = template(at + 1, at + 1)
         elif source[at] == "/" and (not out or out[-1][1] in _BEFORE_REGEX) and (m := _REGEX.match(source, at)):
             out.append(("string", "/", at, m.end()))
+            at = m.end()
         elif not (m := _TOKEN.match(source, at)):
             sound, at = False, at + 1
-            continue
         else:
             if m.lastgroup != "skip":
                 out.append((m.lastgroup, m[0], at, m.end()))
+                if braces and m[0] in "{}":
+                    braces[-1] += 1 if m[0] == "{" else -1
             at = m.end()
-            continue
-        at = out[-1][3]
-    return out, sound
+    return out, sound and not braces
 
 
 def _pairs(tokens) -> tuple[dict[int, int], bool]:
@@ -229,9 +243,17 @@ def parse_javascript(source: str, typed: bool = False) -> Parsed:
             k = pair.get(k, k) + 1
         return pair.get(k) if k < n and text[k] == "{" else None
 
+    def after_types(k: int) -> int:
+        """The token after type parameters in ``<`` and ``>`` that may begin at token k."""
+        angles, j = 0, k
+        while j < n and (text[j] == "<" or angles):
+            angles += (text[j] == "<") - (text[j] == ">")
+            j = pair.get(j, j) + 1
+        return j
+
     def before_return_type(k: int) -> int:
         """The token before a return type that ends at token k, or k if there is none."""
-        for j in range(k, max(0, k - 60), -1):
+        for j in range(k, 0, -1):
             if text[j] == ":":
                 return j - 1 if text[j - 1] == ")" else k
             if kinds[j] == "sign" and text[j] not in ("<", ">", "[", "]", "|", "&", ".", ","):
@@ -270,8 +292,8 @@ def parse_javascript(source: str, typed: bool = False) -> Parsed:
             name = text[at] if at < n and kinds[at] == "word" else None
             if name:
                 names.add(at)
-            params = next((j for j in range(at, min(n, at + 400)) if text[j] == "("), None)
-            end = block_after(pair[params] + 1) if params in pair else None
+            params = after_types(at + 1 if name else at)
+            end = block_after(pair[params] + 1) if params < n and text[params] == "(" and params in pair else None
             if end is None:
                 continue
             first = k - 1 if k and text[k - 1] == "async" else k
