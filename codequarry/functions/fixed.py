@@ -25,12 +25,15 @@ LANGUAGE_BY_EXTENSION = {
 MAX_FILE_BYTES = 1_000_000
 GITHUB_URL = r"^https?://github\.com/([^/]+)/([^/]+?)(?:\.git)?/?$"
 
-STOP_WORDS = (
-    "a an the is are was were be been being have has had do does did will would shall should may might must can could about above after again all also and any because before "
-    "between both but by came come each for from get got he her here him his how i if in into it its just let like make many me more most much my no not now of on one only or other our "
-    "out over own said same she so some still such take than that their them then there these they this those through to too under up us very want way we well what when where which while "
-    "who whom why with you your tell explain show describe give please code codebase repository repo project work works used using use"
-).split()
+STOP_WORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "shall", "should", "may",
+    "might", "must", "can", "could", "about", "above", "after", "again", "all", "also", "and", "any", "because", "before", "between", "both", "but", "by",
+    "came", "come", "each", "for", "from", "get", "got", "he", "her", "here", "him", "his", "how", "i", "if", "in", "into", "it", "its", "just", "let", "like",
+    "make", "many", "me", "more", "most", "much", "my", "no", "not", "now", "of", "on", "one", "only", "or", "other", "our", "out", "over", "own", "said",
+    "same", "she", "so", "some", "still", "such", "take", "than", "that", "their", "them", "then", "there", "these", "they", "this", "those", "through", "to",
+    "too", "under", "up", "us", "very", "want", "way", "we", "well", "what", "when", "where", "which", "while", "who", "whom", "why", "with", "you", "your",
+    "tell", "explain", "show", "describe", "give", "please", "code", "codebase", "repository", "repo", "project", "work", "works", "used", "using", "use",
+]
 
 #: Question types in the order of their tests: by the question's beginning, then by words it holds.
 QUESTION_STARTS = [
