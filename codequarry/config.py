@@ -13,12 +13,13 @@ LEVELS = ("CRITICAL", "ERROR", "WARNING", "INFO", "DEBUG")
 @dataclass
 class Settings:
     embedding_provider: str = "hash"
-    embedding_model: str = "sha256"
+    embedding_model: str = ""
     embedding_dim: int = 128
     llm_provider: str = "offline"
     llm_model: str = "synthesizer"
     metric: str = "cosine"
     store_path: str = ".codequarry/index"
+    store_kind: str = "parquet"
     store_buckets: int = 64
     chunk_max_tokens: int = 512
     chunk_overlap_tokens: int = 64
@@ -27,6 +28,7 @@ class Settings:
     graph_expansion_depth: int = 1
     context_token_budget: int = 8000
     reranking_enabled: bool = False
+    reranker_model: str = "lexical"
     log_level: str = "INFO"
     log_file: str = ""
     openai_api_key: str = ""

@@ -6,9 +6,10 @@ import logging
 import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +17,13 @@ from .. import schemas, scratch
 from ..config import Settings
 from ..functions import fixed
 from ..functions import scalars as S
+from ..functions.embedders import embedder
 from ..operators import graph, incremental, retrieval
-from ..operators.parsing import EXTRACTORS, parse_files
+from ..operators.parsing import parse_files
+from ..operators.reranking import reranker
 from ..sources import files as source_files
 from ..sources.repo import resolve
-from ..sources.store import ChunkStore
+from ..sources.store import ChunkStore, open_store
 from . import answers
 
 log = logging.getLogger(__name__)
@@ -28,6 +31,10 @@ log = logging.getLogger(__name__)
 STORED = schemas.CHUNKS + ", calls array<string>, qualified_name string, node_id string, citation string, summary string, enriched_text string, embedding array<double>"
 
 
+#: Failures that IndexStats quotes; the table ``failures`` has them all.
+SHOWN_ERRORS = 100
+
+
 @dataclass
 class IndexStats:
     repo_path: str
@@ -52,16 +59,17 @@ class Engine:
 
     ``embed`` maps a text column to a vector column and replaces the hash
     embedding; ``docgen`` maps chunk columns to a summary for definitions
-    without a docstring; ``rerank`` takes and returns a table of results.
+    without a docstring; ``rerank`` takes and returns a table of results. What
+    isn't given comes from the settings' providers.
     """
 
     def __init__(self, spark: SparkSession, settings: Settings | None = None, embed: Callable[[Column], Column] | None = None, docgen: Callable[[DataFrame], Column] | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None, llm: answers.Client | None = None) -> None:
         self.spark, self.settings = spark, settings or Settings()
         self.root = self.settings.store_path if "://" in self.settings.store_path or self.settings.store_path.startswith("/") else f"{_cwd()}/{self.settings.store_path}"
-        self.store = ChunkStore(spark, f"{self.root}/chunks", STORED, buckets=self.settings.store_buckets, metric=self.settings.metric)
+        self.store = open_store(self.settings.store_kind, spark, f"{self.root}/chunks", STORED, buckets=self.settings.store_buckets, metric=self.settings.metric)
         self.manifest = ChunkStore(spark, f"{self.root}/manifest", schemas.MANIFEST, key="file_path", buckets=self.settings.store_buckets)
-        self.embed = embed or (lambda text: S.hash_embedding(text, self.settings.embedding_dim))
-        self.docgen, self.rerank = docgen, rerank or (retrieval.rerank_lexical if self.settings.reranking_enabled else None)
+        self.embed = embed or embedder(self.settings.embedding_provider, self.settings.embedding_model, self.settings.openai_api_key, self.settings.embedding_dim)
+        self.docgen, self.rerank = docgen, rerank or reranker(self.settings.reranking_enabled, self.settings.reranker_model)
         self.summaries = ChunkStore(spark, f"{self.root}/summaries", "chunk_id string, file_path string, summary string", buckets=self.settings.store_buckets)
         s = self.settings
         self.llm = llm or answers.client(s.llm_provider, s.llm_model, s.api_key(), f"{s.ollama_base_url}/v1" if s.llm_provider == "ollama" else None)
@@ -94,9 +102,14 @@ class Engine:
         self.manifest.delete(changes.filter("status <> 'unchanged'").select("file_path"))
         self.manifest.upsert(incremental.manifest_of(done, chunks))
         self._write_graph(work)
-        errors = [f"{r['file_path']}: {r['error']}" for r in failed.limit(100).collect()] + [f"{r['file_path']}: unreadable" for r in files.filter("content is null").limit(100).collect()]
-        stats.files_failed = failed.count() + files.filter("content is null").count()
-        stats.files_processed = counted["n_new"] + counted["n_changed"] - failed.count()
+        unreadable = files.filter("content is null").select("file_path", F.lit("unreadable").alias("error"))
+        failures = scratch.stored(failed.unionByName(unreadable), f"{work}/failures")
+        failures.write.mode("overwrite").parquet(f"{self.root}/failures")
+        stats.files_failed, unparsed = failures.count(), failed.count()
+        errors = [f"{r['file_path']}: {r['error']}" for r in failures.orderBy("file_path").limit(SHOWN_ERRORS).collect()]
+        if stats.files_failed > len(errors):
+            errors.append(f"and {stats.files_failed - len(errors)} more, all in {self.root}/failures")
+        stats.files_processed = counted["n_new"] + counted["n_changed"] - unparsed
         stats.files_skipped, stats.files_deleted = counted["n_unchanged"], counted["n_deleted"]
         stats.chunks_indexed, stats.errors, stats.elapsed_seconds = chunks.count(), errors, time.time() - began
         return stats
@@ -113,7 +126,7 @@ class Engine:
 
     def _document(self, chunks: DataFrame) -> None:
         """Summaries from ``docgen`` for chunks that have neither a docstring nor a kept summary; they are kept for later runs. A null summary is asked for again."""
-        asked = chunks.join(self.summaries.read().select("chunk_id"), "chunk_id", "left_anti")
+        asked = incremental.undescribed(chunks, self.summaries.read())
         told = asked.withColumn("summary", self.docgen(asked)).filter("summary is not null")
         self.summaries.upsert(told.select("chunk_id", "file_path", "summary"))
 
@@ -148,6 +161,10 @@ class Engine:
         row = incremental.status(self.manifest.read()).first()
         return {"indexed": row["n_files"] > 0, "files": row["n_files"], "chunks": row["n_chunks"], "last_indexed": row["last_indexed"]}
 
+    def has_graph(self) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/edges/_SUCCESS")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
     def graph_tables(self) -> tuple[DataFrame, DataFrame]:
         return self.spark.read.parquet(f"{self.root}/nodes"), self.spark.read.parquet(f"{self.root}/edges")
 
@@ -172,33 +189,48 @@ class Engine:
             found = self.rerank(named)
         return retrieval.context(found, s.context_token_budget)
 
-    def ask(self, question: str, top_k: int | None = None, depth: int | None = None) -> answers.Answer:
+    def ask(self, question: str, top_k: int | None = None, depth: int | None = None, llm: answers.Client | None = None) -> answers.Answer:
+        """The answer to one question, by the engine's model or the one given; its ``context`` is the text that the model saw."""
         if not 1 <= len(question) <= 2000:
             raise ValueError("a question has 1 to 2000 characters")
         if top_k is not None and not 1 <= top_k <= 50:
             raise ValueError("top_k is 1 to 50")
         row = self.retrieve(self.spark.createDataFrame([(0, question)], "query_id int, question string"), top_k, depth).first()
-        return answers.generate(question, row["context_text"] if row else "", list(row["citations"]) if row else [], self.llm)
+        answer = answers.generate(question, row["context_text"] if row else "", list(row["citations"]) if row else [], llm or self.llm)
+        answer.context = row["context_text"] if row else ""
+        return answer
 
     # ------------------------------------------------------------ evaluation
 
     def evaluate(self, qa: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(rows, summary) for questions of ``schemas.QA``. Retrieval is one job; a question whose answer fails counts as an error and doesn't stop the others."""
         qa = qa.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("expected_chunks", "expected_keywords")})
-        contexts = {r["query_id"]: r for r in self.retrieve(qa.select(F.col("id").alias("query_id"), "question")).collect()}  # a row for each question asked
-        out = []
-        for q in qa.collect():
-            began, row = time.time(), contexts.get(q["id"])
-            a = answers.generate(q["question"], row["context_text"] if row else "", list(row["citations"]) if row else [], self.llm)
-            failed = a.answer.startswith("Error generating answer:")
-            out.append((q["id"], q["question"], a.answer, a.citations, time.time() - began, a.answer if failed else None))
-        rows = self.spark.createDataFrame(out, "id string, question string, answer string, citations array<string>, latency double, error string")
+        contexts = self.retrieve(qa.select(F.col("id").alias("query_id"), "question")).select(F.col("query_id").alias("id"), "context_text", "citations")
+        asked = qa.select("id", "question").join(contexts, "id", "left")
+        told = scratch.stored(asked.mapInPandas(_answering(self.llm), "id string, question string, answer string, citations array<string>, latency double, error string"), f"{scratch.folder(self.spark)}/answers")
+        rows = told
         rows = rows.join(qa.select("id", "expected_chunks", "expected_keywords"), "id").withColumns({"retrieval_recall": S.retrieval_recall("expected_chunks", "citations"), "keyword_recall": S.keyword_recall("expected_keywords", "answer")})
         zero = lambda c: F.coalesce(c, F.lit(0.0))
         summary = rows.agg(F.count("*").alias("n"), zero(F.avg("retrieval_recall")).alias("mean_retrieval_recall"), zero(F.avg("keyword_recall")).alias("mean_keyword_recall"), zero(F.avg("latency")).alias("avg_latency"), zero(F.sum("latency")).alias("total_latency"), F.count_if(F.col("error").isNotNull()).alias("n_errors"))
         return rows, summary
 
 
+def _answering(llm: answers.Client):
+    """Answers questions (id, question, context_text, citations) where they lie, one after the other in each task; a failure is that row's error."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for q in part.itertuples():
+                began, some = time.time(), q.citations is not None
+                a = answers.generate(q.question, q.context_text if some else "", list(q.citations) if some else [], llm)
+                failed = a.answer.startswith(answers.FAILED)
+                rows.append((q.id, q.question, a.answer, a.citations, time.time() - began, a.answer if failed else None))
+            yield pd.DataFrame(rows, columns=["id", "question", "answer", "citations", "latency", "error"])
+
+    return run
+
+
 def read_qa(spark: SparkSession, path: str) -> DataFrame:
     """Questions from a JSON array file."""
     return spark.read.schema(schemas.QA).option("multiLine", True).json(path)

@@ -173,7 +173,10 @@ def test_answers():
     blocks = answers.parse_blocks(text)
     assert [b["scope"] for b in blocks] == ["f", "g"] and blocks[1]["summary"] == "Does g." and blocks[0]["code"] == "def f():\n    return 1"
     out = answers.synthesize("How does f work?", text)
-    assert "**1. f**" in out and "### Component Flow" not in out.split("### Key Code")[0]
+    assert out.startswith("How it works can be followed in f.\n") and "| f | a.py:L1-L2 (f) |  | def f(): |" in out and "def f():\n    return 1" in out
+    every = answers.synthesize("zzz?", text)
+    assert every.startswith("The question touches g, f.") or every.startswith("The question touches f, g.")
+    assert "| g | b.py:L1-L2 (g) |  | Does g. |" in every and "Among these, g calls f." in every
 
 
 def test_stream(spark, tmp_path):
@@ -201,4 +204,4 @@ def test_cli(spark, tree, tmp_path, monkeypatch):
     assert main(["index", str(tmp_path / "nowhere")], spark, said.append) == 1
     assert main(["index", str(tree)], spark, said.append) == 0
     assert main(["ask", "What does greet do?", "--no-graph"], spark, said.append) == 0
-    assert main(["status"], spark, said.append) == 0 and "5 files" in said[-1]
+    assert main(["status"], spark, said.append) == 0 and "files         5" in said[-1]
