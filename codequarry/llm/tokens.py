@@ -201,7 +201,7 @@ class Encoder:
             yield first, end, np.concatenate([p[0] for p in parts]), np.array([sum(int(p[1][0]) for p in parts)])
 
 
-K.KEPT["tokens"] = Encoder._all.clear
+K.KEPT["tokens"] = lambda: K.forget(Encoder._all)
 
 
 def _cuts(data: np.ndarray, every: int = K.SLICE_BYTES) -> list[tuple[int, int]]:
@@ -246,11 +246,9 @@ def histogram_of(counts: DataFrame, length_col: str = "n_tokens", block: int = 1
     """One row for each length that occurs: n_tokens, n_docs, docs_from and tokens_from (documents at least so long, and their tokens), docs_total, tokens_total, truncated_total.
 
     ``truncated_total`` is the number of tokens left when every document is cut
-    at n_tokens. For a limit between two lengths, ``truncated_total`` at the
-    next greater length less docs_from there times the difference is exact; the
-    q-quantile is the greatest length whose docs_from exceeds (1 - q) of
-    docs_total. Sums over blocks of lengths come first, so no task gets more
-    rows than there are blocks or lengths in a block.
+    at n_tokens; ``truncated_totals`` and ``quantiles`` answer any limit or
+    share from these rows. Sums over blocks of lengths come first, so no task
+    gets more rows than there are blocks or lengths in a block.
     """
     by_length = counts.groupBy(F.col(length_col).cast("long").alias("n_tokens")).agg(F.count("*").alias("n_docs"))
     spark = counts.sparkSession
@@ -264,3 +262,19 @@ def histogram_of(counts: DataFrame, length_col: str = "n_tokens", block: int = 1
     out = by_length.withColumns({"x": F.sum("n_docs").over(within), "y": F.sum(F.col("n_docs") * F.col("n_tokens")).over(within)}).join(blocks, "block")
     out = out.select("n_tokens", "n_docs", (F.col("x") + F.col("d")).alias("docs_from"), (F.col("y") + F.col("t")).alias("tokens_from"), "docs_total", "tokens_total")
     return out.withColumn("truncated_total", F.col("tokens_total") - F.col("tokens_from") + F.col("n_tokens") * F.col("docs_from"))
+
+
+def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
+    """context_limit, docs_cut, truncated_total for each limit of 0 or more: the documents longer than it, and the tokens left when each is cut at it. Exact, from the rows of ``histogram_of``; an empty histogram gives no rows."""
+    asked = histogram.withColumn("context_limit", F.explode(F.array(*(F.lit(x).cast("long") for x in limits))))
+    longer = F.col("n_tokens") > F.col("context_limit")
+    beyond = lambda c: F.coalesce(F.min_by(c, F.when(longer, F.col("n_tokens"))), F.lit(0))
+    out = asked.groupBy("context_limit").agg(beyond(F.when(longer, F.col("docs_from"))).alias("docs_cut"), beyond(F.when(longer, F.col("tokens_from"))).alias("t"), F.max("tokens_total").alias("all"))
+    return out.select("context_limit", "docs_cut", (F.col("all") - F.col("t") + F.col("context_limit") * F.col("docs_cut")).alias("truncated_total"))
+
+
+def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
+    """share, n_tokens for each share from 0 to 1: the least length that at least so many of the documents don't exceed. Exact, from the rows of ``histogram_of``; an empty histogram gives no rows."""
+    asked = histogram.withColumn("share", F.explode(F.array(*(F.lit(float(x)) for x in shares))))
+    upto = F.col("docs_total") - F.col("docs_from") + F.col("n_docs")
+    return asked.filter(upto >= F.col("share") * F.col("docs_total")).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
