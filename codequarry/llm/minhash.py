@@ -41,7 +41,7 @@ HOPELESS = 32
 #: Classes of a tile at most, and shingles in its sets; a tile holds ``LEAST_TILE`` sets at least.
 TILE, TILE_SHINGLES, LEAST_TILE = 1024, 1 << 20, 16
 #: A key is hot with so many rows, or more in very large tables: never more than a million keys are.
-HOT, MOST_HOT = 4096, 1_000_000
+HOT, MOST_HOT = 512, 1_000_000
 _LANES = [0xFFFF << (16 * v) for v in range(PER_CHUNK)]
 _SIGNATURE = [f"s{c}" for c in range(CHUNKS)]
 
