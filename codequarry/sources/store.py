@@ -16,6 +16,10 @@ from .. import scratch
 from ..functions.scalars import similarity
 
 
+#: Rows of a bucket's file, about.
+FILE_ROWS = 1_000_000
+
+
 class Store(Protocol):
     """What the engine asks of a store of chunks."""
 
@@ -56,9 +60,11 @@ class ChunkStore:
     def _replace(self, rows: DataFrame, touched: list[int]) -> None:
         """Put ``rows`` in place of the touched buckets. A bucket left without rows is removed, as an overwrite by no rows would leave it."""
         staged = scratch.stored(rows.select(*self.schema.fieldNames(), self._bucket()), f"{scratch.folder(self.spark)}/staged")
-        left = {r["bucket"] for r in staged.select("bucket").distinct().collect()}
-        staged.repartition(max(1, len(left)), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
-        for b in set(touched) - left:
+        left = {r["bucket"]: r["n"] for r in staged.groupBy("bucket").agg(F.count("*").alias("n")).collect()}  # ``buckets`` at most
+        files = max(1, -(-max(left.values(), default=0) // FILE_ROWS))
+        place = F.pmod(F.xxhash64(self.key), F.lit(files))  # a large bucket has several files, each of a task of its own
+        staged.repartition(max(1, len(left) * files), "bucket", place).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        for b in set(touched) - set(left):
             p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket={b}")
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
