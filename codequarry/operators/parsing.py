@@ -364,6 +364,13 @@ def parse_typescript(source: str) -> Parsed:
 EXTRACTORS: dict[str, Callable[[str], Parsed]] = {"python": parse_python, "javascript": parse_javascript, "js": parse_javascript, "typescript": parse_typescript, "tsx": parse_typescript}
 
 
+def extractor(language: str) -> Callable[[str], Parsed]:
+    """The extractor of a language; ValueError if there is none."""
+    if language.lower() not in EXTRACTORS:
+        raise ValueError(f"no parser for {language!r}; there are {', '.join(sorted(EXTRACTORS))}")
+    return EXTRACTORS[language.lower()]
+
+
 def register_extractor(language: str, function: Callable[[str], Parsed]) -> None:
     EXTRACTORS[language] = function
 

@@ -171,3 +171,12 @@ def test_config_and_source(tmp_path):
         resolve("nothing here")
     (tmp_path / "o__r").mkdir()
     assert resolve("https://github.com/o/r", str(tmp_path), run=lambda *a, **k: Done).name == "o__r"
+
+
+def test_extractor_by_name():
+    import pytest
+    from codequarry.operators.parsing import extractor, parse_python
+
+    assert extractor("Python") is parse_python
+    with pytest.raises(ValueError, match="no parser for 'cobol'"):
+        extractor("cobol")
