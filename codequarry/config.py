@@ -18,7 +18,9 @@ class Settings:
     llm_provider: str = "offline"
     llm_model: str = "synthesizer"
     metric: str = "cosine"
+    #: Both must be folders that all executors see, where there are several machines.
     store_path: str = ".codequarry/index"
+    clone_root: str = "_repos"
     store_kind: str = "parquet"
     store_buckets: int = 64
     chunk_max_tokens: int = 512

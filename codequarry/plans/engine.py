@@ -80,7 +80,7 @@ class Engine:
     def index(self, source: str, incremental_run: bool = True) -> IndexStats:
         """Index a tree; by default only files whose hash differs from the manifest's. Chunks of changed and deleted files go, as do those that a changed file no longer has."""
         began = time.time()
-        path = str(resolve(source)) if "://" not in source or source.startswith(("http://", "https://")) else source
+        path = str(resolve(source, self.settings.clone_root)) if "://" not in source or source.startswith(("http://", "https://")) else source
         work = scratch.folder(self.spark)
         if not incremental_run:
             self.store.clear(), self.manifest.clear()
