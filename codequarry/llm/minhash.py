@@ -297,8 +297,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # What a key holds beyond its star: classes of several components, compared in tiles.
     comp_of = lambda df: df.join(reached.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     open_star = comp_of(star.filter("n > 2"))
-    several = open_star.filter("cls <> lead").groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
-    group = open_star.filter("cls <> lead").join(several, "key", "left_semi").select("lead", "cls", "comp").distinct()
+    open_star = open_star.filter("cls <> lead")
+    several = stored(open_star.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key"), f"{folder}/several")
+    group = _joined(open_star, several, hot).select("lead", "cls", "comp").distinct()
     # Linked sets differ in size by no more than 100 / percent, so they are in one band or in neighbouring ones.
     step = 1.001 * float(np.log(100 / percent)) if percent < 100 else 0.001
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / step)
