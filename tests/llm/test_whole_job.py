@@ -153,7 +153,8 @@ def test_stages_on_odd_rows(spark):
     stages = dict(corpus_pipeline.STAGES)
     assert held(stages["language ID"](spark, docs, SF)) == {"long", "item"}
     near = stages["near-duplicates"](spark, docs, SF)
-    assert {"null", "empty", "blank", "signs", "long"} <= held(near) and sum(d == ids["empty"] for d, _ in rows(near)) == 1 and None in {d for d, _ in rows(near)}
+    assert {"null", "empty", "blank", "signs"} <= held(near) and "long" not in held(near)  # its words repeat another text's
+    assert sum(d == ids["empty"] for d, _ in rows(near)) == 1 and None in {d for d, _ in rows(near)}
     clean = stages["decontamination"](spark, docs, SF)
     assert held(clean) == set(said) - {"item"} and sum(d == ids["empty"] for d, _ in rows(clean)) == 2
     mixed = rows(stages["mixing"](spark, docs, SF))
