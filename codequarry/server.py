@@ -13,7 +13,6 @@ import logging
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
-from .functions import scalars  # noqa: F401  (fails early where Spark is missing)
 from .plans import answers
 
 log = logging.getLogger(__name__)
