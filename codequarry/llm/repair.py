@@ -37,6 +37,8 @@ from .tokens import Encoder, tokenizer_path
 SHARD_TOKENS = 1 << 20
 #: A pair gets a rule while it occurs so often. Rarer ones cost more bytes (two symbols and a length) than they save; see the README for sizes at 2 to 16.
 LEAST = 8
+#: Bits of a table's slots in which a round looks up its pairs.
+SLOTS = 18
 
 SHARD_SCHEMA = "part int, shard int, start_in_part long, n_tokens long, vocabulary int, width int, symbols binary, rules binary, expansions binary, doc_ids array<long>, doc_tokens array<int>, doc_symbols array<int>"
 _ARROW = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("vocabulary", pa.int32()), ("width", pa.int32()), ("symbols", pa.binary()), ("rules", pa.binary()), ("expansions", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int32())), ("doc_symbols", pa.list_(pa.int32()))])
@@ -69,28 +71,28 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, least: int = LE
     made: list[np.ndarray] = []
     following = vocabulary
     while len(symbols) > 1:
-        bits = min(20, max(8, len(symbols).bit_length()))
-        bucket = (symbols[:-1] * np.uint32(0x9E3779B1) ^ symbols[1:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - bits)
-        free = ~last[:-1]
-        free[_overlapping(symbols)] = False
-        # Pairs of a bucket with fewer entries than ``least`` can't occur so often.
-        at = np.flatnonzero((np.bincount(bucket[free], minlength=1 << bits) >= least)[bucket] & free)
-        code = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
+        # Where all symbols fit into 16 bits, half as wide numbers name the pairs. The greatest number is no pair.
+        kind, half, factor = (np.uint32, 16, 0x9E3779B1) if following < 1 << 16 else (np.uint64, 32, 0x9E3779B97F4A7C15)
+        none, shift = kind(~kind(0)), kind(2 * half - SLOTS)
+        code = symbols[:-1].astype(kind) << kind(half) | symbols[1:].astype(kind)
+        code[last[:-1]] = none
+        code[_overlapping(symbols)] = none
         ordered = np.sort(code)
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         times = np.diff(first, append=len(ordered))
-        often = times >= least
+        often = (times >= least) & (ordered[first] != none)
         if not often.any():
             break
         pairs, times = ordered[first[often]], times[often]
-        by_rank = np.lexsort((K.mix64(pairs), times))
-        pairs = pairs[by_rank]
-        # Each bucket's best pair; what shares its bucket with a better one waits for the next round.
-        best = np.full(1 << bits, -1, np.int32)
-        hashed = ((pairs >> np.uint64(32)).astype(np.uint32) * np.uint32(0x9E3779B1) ^ pairs.astype(np.uint32) * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - bits)
-        best[hashed] = np.arange(len(pairs))
-        found = best[bucket[at]]
-        found = np.where((found >= 0) & (pairs[found] == code), found, -1)
+        pairs = pairs[np.lexsort((K.mix64(pairs.astype(np.uint64)), times))]
+        # Each slot's best pair; what shares its slot with a better one waits for the next round.
+        best = np.full(1 << SLOTS, -1, np.int32)
+        best[pairs * kind(factor) >> shift] = np.arange(len(pairs))
+        found = best[code * kind(factor) >> shift]
+        at = np.flatnonzero(found >= 0)
+        found = found[at]
+        same = pairs[found] == code[at]
+        at, found = at[same], found[same]
         rank = np.full(len(symbols) + 1, -1, np.int32)
         rank[at + 1] = found
         take = np.flatnonzero((rank[1:-1] > rank[:-2]) & (rank[1:-1] > rank[2:]))
@@ -102,7 +104,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, least: int = LE
         stay = np.ones(len(symbols), bool)
         stay[take + 1] = False
         symbols, last = symbols[stay], last[stay]
-        made.append(np.stack([pairs[kept] >> np.uint64(32), pairs[kept] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        made.append(np.stack([pairs[kept] >> kind(half), pairs[kept] & kind((1 << half) - 1)], 1).astype(np.uint32))
         following += len(made[-1])
     rules = np.concatenate(made) if made else np.zeros((0, 2), np.uint32)
     cuts = np.flatnonzero(last) + 1

@@ -25,7 +25,7 @@ from .common import bounded_batches, scratch, stored
 
 _LETTER, _NUMBER, _SPACE, _OTHER, _END, _RARE = range(6)
 _KNOWN = 0x3000
-_SLOTS = 1 << 20
+_SLOTS = 1 << 21
 _FLAT = 1 << 22
 _LONG_TEXT = 4 << 20
 
@@ -115,11 +115,15 @@ class Encoder:
 
     def _clear(self) -> None:
         self.key = np.zeros(_SLOTS, np.uint64)
-        self.place = np.zeros(_SLOTS, np.int64)
+        self.place = np.zeros(_SLOTS, np.int32)
         self.size = np.zeros(_SLOTS, np.int32)
         self.flat = np.zeros(_FLAT + (1 << 20), np.int32)
         self.used = 0
 
+    @staticmethod
+    def _second(names: np.ndarray) -> np.ndarray:
+        return (names >> np.uint64(40) & np.uint64(_SLOTS - 1)).astype(np.int64)
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
 
@@ -161,8 +165,10 @@ class Encoder:
         a, b = a[real], b[real]
         names = K.span_hashes(self.codes[capped], a, b)
         slot = (names & np.uint64(_SLOTS - 1)).astype(np.int64)
+        missed = np.flatnonzero(self.key[slot] != names)
+        slot[missed] = self._second(names[missed])
         place, size = self.place[slot], self.size[slot]
-        new = np.flatnonzero(self.key[slot] != names)
+        new = missed[self.key[slot[missed]] != names[missed]]
         if len(new):
             if self.used > _FLAT:
                 self._clear()
@@ -171,7 +177,8 @@ class Encoder:
             which = new[first]
             places, sizes = self._learn([text[x:y] for x, y in zip(a[which].tolist(), b[which].tolist(), strict=True)])
             place[new], size[new] = places[again], sizes[again]
-            at = slot[which]
+            at = (distinct & np.uint64(_SLOTS - 1)).astype(np.int64)  # the first place if it is free, else the second
+            at = np.where(self.key[at] == 0, at, self._second(distinct))
             self.key[at], self.place[at], self.size[at] = distinct, places, sizes
         ends = np.concatenate([[0], np.cumsum(size)])
         of_text = ends[np.searchsorted(a, edges)]
