@@ -17,6 +17,8 @@ Spark's own learner; there is no Python on the executors.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -29,6 +31,8 @@ _RUN = r"A-Za-z0-9_+/=.\-"
 _KNOWN = r"(?:(?:AKIA|ASIA|AGPA|AIDA|AROA|ANPA)[A-Z0-9]{12}|gh[opsur]_[A-Za-z0-9]{8}|(?:github_pat_|glpat-|xox[abeoprs]-|[prs]k_(?:live|test)_|npm_|pypi-|hf_|dop_v1_|shp(?:at|ca|pa|ss)_|sk-)[A-Za-z0-9_\-]{8}|AIza[A-Za-z0-9_\-]{16}|eyJ[A-Za-z0-9_\-]{16}|ya29\.|SG\.[A-Za-z0-9_\-]{8})"
 CANDIDATE = rf"(?<![{_RUN}])(?:(?=[A-Za-z_+/=.\-]*+[0-9])(?=[0-9_+/=.\-]*+[A-Za-z])[{_RUN}]{{9,}}+|(?=[{_RUN}]*?(?<![A-Za-z0-9]){_KNOWN})[{_RUN}]{{9,}}+)"
 _NAME = r"(?:pass(?:words?|wd|phrase|code)|pass(?![A-Za-z])|pwd|secret|token|api[_.\- ]?key|access[_.\- ]?key|auth(?!or(?!i))|bearer|credential|private[_.\- ]?key)"
+#: Each match of the names holds one of these.
+_NEEDED = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential")
 #: A secret-like name, = or :, and in group 1 the value: to the closing quote where it is quoted, else to the next blank or quote. What is itself a name before a value is none.
 NAMED = rf"(?i){_NAME}[\w.\-]{{0,40}}+[\"'`\])]{{0,3}}+[ \t]*+(?::=|=>|={{1,3}}+|:)[ \t]*+(?:(?:bearer|basic)[ \t]++)?+" + rf"(?:[\"'`]?+)((?<=\")[^\"\\\r\n]*+(?:\\.[^\"\\\r\n]*+){{0,100}}+(?<!\")|(?<=')[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+){{0,100}}+(?<!')|(?<=`)[^`\r\n]++|(?<![\"'`])(?![\w.\-{{\[(]{{0,60}}{_NAME}[\w.\-]{{0,40}}[ \t]?[:=]+[\"'`\s])(?![{{\[(]+[\"'`\s])[^\s\"'`]++)"
 PEM = r"-----BEGIN (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY-----(?:\s*+[A-Za-z0-9+/=]{16,}+)*+(?:\s*+[A-Za-z0-9+/=]{0,15}+\s*+-----END (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY-----)?+"
@@ -50,11 +54,13 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), path.alias("path"))
     runs = _matches(rows, CANDIDATE, 0).select("doc_id", "start", "value", F.right("left", F.lit(40)).alias("before"), F.left("right", F.lit(2)).alias("after"), "path")
-    named = _matches(rows, NAMED, 1).filter("value <> ''")
+    lowered = F.lower("text")  # searched for plain strings first, which is much cheaper than the pattern that needs one of them
+    holds = reduce(lambda a, b: a | b, (lowered.contains(x) for x in _NEEDED)) & (F.col("text").contains("=") | F.col("text").contains(":"))
+    named = _matches(rows.filter(holds), NAMED, 1).filter("value <> ''")
     around = F.concat(F.regexp_extract("left", rf"(?<![{_RUN}])[{_RUN}]++$", 0), F.col("value"), F.regexp_extract("right", rf"^[{_RUN}]*+", 0))
     held = F.col("value").rlike(rf"^[{_RUN}]++$") & around.rlike(rf"^{CANDIDATE}$")
     named = named.filter(~held).select("doc_id", "start", "value", F.right("left", F.lit(40)).alias("before"), F.left("right", F.lit(2)).alias("after"), "path")
-    blocks = _matches(rows, PEM, 0).select("doc_id", "start", "value", F.right("left", F.lit(40)).alias("before"), F.left("right", F.lit(2)).alias("after"), "path")
+    blocks = _matches(rows.filter(F.col("text").contains("PRIVATE KEY-----")), PEM, 0).select("doc_id", "start", "value", F.right("left", F.lit(40)).alias("before"), F.left("right", F.lit(2)).alias("after"), "path")
     return runs.unionByName(named).unionByName(blocks)
 
 
