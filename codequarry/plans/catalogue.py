@@ -527,7 +527,7 @@ def eval_summary(spark, d):
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE trim(text, ' ' || chr(9) || chr(10) || chr(13)) END AS docstring FROM documents WHERE NOT regexp_matches(text, '\"{3}|''{3}')")
 def docstring_in_text(spark, d):
     docs = read(spark, d, "documents").filter(~F.col("text").contains('"""') & ~F.col("text").contains("'''"))
-    quote = F.when(F.col("doc_id") % 3 == 0, '"""').when(F.col("doc_id") % 3 == 1, "'''").otherwise("")
+    quote = F.when(F.col("doc_id") % 3 == 0, '"""').when(F.col("doc_id") % 3 == 2, "").otherwise("'''")
     return docs.select("doc_id", S.docstring_in_text(F.concat(F.lit("def f():\n    "), quote, "text", quote, F.lit("\n    return 1\n"))).alias("docstring"))
 
 

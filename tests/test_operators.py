@@ -94,6 +94,14 @@ def test_scores_are_written_by_their_binary_value(spark):
     assert one(spark, S.block_header(F.lit(1), F.lit(2), F.lit("f"), F.lit(0.4165), F.lit("s"))) == "--- [1/2] f (score=0.416, source=s) ---"
 
 
+def test_docstrings_that_end_with_a_quote(spark):
+    for text in ('the "end"', "the 'end'", '"', '""', "''", 'a ""', '"a', ""):
+        for quote in ('"""', "'''"):
+            assert one(spark, S.docstring_in_text(F.lit(f"def f():\n    {quote}{text}{quote}\n    return 1\n"))) == text, (text, quote)
+    assert one(spark, S.docstring_in_text(F.lit('def f():\n    """a""""b"\n    x = """c"""\n'))) == "a"
+    assert one(spark, S.docstring_in_text(F.lit('"""one""""'))) == 'one"' and one(spark, S.docstring_in_text(F.lit('"""open'))) is None
+
+
 def test_gitignore():
     def rules(text, base=""):
         return [("-" if p[1] else "+") + ("d" if p[2] else "a") + p[0] for p in (ignore_regex(x, base) for x in text.split("\n")) if p]
