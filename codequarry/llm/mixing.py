@@ -7,11 +7,9 @@ source is permuted in blocks of about equal size and read, block after block
 and as often as needed, until its token budget is used up. Everything is
 DataFrame expressions; the only per-document state is a hash.
 
-Tokenizers have no SQL, so tokens are estimated where no counts are given: a
-text's words, characters, bytes and marks, counted over the whole text, go into a
-linear model with a factor for its source. The driver fits it to the true counts of
-a bounded sample of passages of the documents themselves; sums over sources cover
-all documents.
+Where no counts are given, the tokenizer's tokens of each whole text are counted by
+``bpe.Counter``, exactly. ``token_estimate`` with a model of ``fit_tokens`` is a cheaper
+stand-in for callers that want one; ``mix`` doesn't use it.
 """
 
 from __future__ import annotations
@@ -24,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from .common import bounded_batches, free_name, scratch, sized_join, stored
+from .bpe import Counter
+from .common import bounded_batches, byte_size, free_name, scratch, sized_join, stored
 from .tokens import tokenizer_path
 
 BLOCK_TOKENS = 1 << 20
@@ -170,9 +169,13 @@ def plan(docs: DataFrame, tokens: Column, source_col: str = "source", entropy: f
     return weights.select("mix_source", "tokens", "docs", "share", "weight", F.round(F.col("weight") * total).cast("long").alias("budget"), F.lit(exponent).alias("exponent"))
 
 
-def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", tokens_col: str | None = None, entropy: float | None = 0.95, max_repeats: float | None = 2.0, token_budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", tokens_col: str | None = None, entropy: float | None = 0.95, max_repeats: float | None = 2.0, token_budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 17, with_tokens: bool = True) -> DataFrame:
     """docs, a row for each reading, with mix_source, mix_tokens, mix_weight, mix_epoch (from 0), mix_block and mix_key; columns of these names are replaced.
 
+    Tokens are those of ``tokens_col``, or else the exact counts of all whole
+    texts; without ``with_tokens`` these decide as well, but mix_tokens isn't
+    returned, which saves a join of the texts.
+
     Sorting by (mix_block, mix_key) gives the mixture: blocks of all sources in
     random order, each with its documents in random order. A source's whole
     epochs are complete; the rest of its budget goes to its first blocks in the
@@ -197,10 +200,10 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     if tokens_col:
         dealt = dealt.withColumn(tok, F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)))
     else:
-        weights, factors = fit_tokens(docs, text_col, source_col)
-        factors = spark.createDataFrame([("n" if s is None else f"s{s}", f) for s, f in factors], f"`{src}` string, `{pre}factor` double")  # 2 * PASSAGES rows at most
-        dealt = dealt.join(F.broadcast(factors), src, "left").withColumn(tok, token_estimate(F.col(text_col), weights, F.coalesce(col("factor"), F.lit(1.0))))
-    counted = stored(dealt.select(F.col(source_col).alias("source"), src, tok, key), f"{folder}/counted")  # without texts
+        told = Counter(spark).counts(dealt.select(key, F.col(text_col)), key, text_col).withColumnRenamed("n", tok)
+        told = F.broadcast(told) if byte_size(told) <= 48 << 20 else told
+    count = lambda rows: rows if tokens_col else rows.join(told, key, "left").withColumn(tok, F.coalesce(F.col(tok), F.lit(0)))
+    counted = stored(count(dealt.select(F.col(source_col).alias("source"), src, key, *([tok] if tokens_col else []))), f"{folder}/counted")  # without texts
     sources = plan(counted, F.col(tok), "source", entropy, max_repeats, token_budget)
     sources = sources.select(name(F.col("mix_source")).alias(src), F.col("tokens").alias(f"{pre}all"), F.col("weight").alias(f"{pre}weight"), F.col("budget").alias(f"{pre}budget"), F.floor(F.col("budget") / F.col("tokens")).alias(f"{pre}full"), F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens)).cast("long").alias(f"{pre}blocks"))
     sources = stored(sources.withColumn(f"{pre}rest", col("budget") - col("full") * col("all")), f"{folder}/sources")
@@ -229,13 +232,15 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
 
     ready = sized_join(dealt, rules, [src], "left", salt=F.col(key)).withColumn(block, F.coalesce(block_of, F.lit(0)))
     once_more = (ranked < col("cut_rank")) | ((F.col(block) == col("cut_block")) & (F.col(key) <= col("cut_key")))
-    reads = F.when(col("full").isNull() | (F.col(tok) == 0), F.lit(1)).otherwise(col("full") + F.when(once_more, 1).otherwise(0)).cast("int")
+    empty = F.col(tok) == 0 if tokens_col else F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)) == 0
+    reads = F.when(col("full").isNull() | empty, F.lit(1)).otherwise(col("full") + F.when(once_more, 1).otherwise(0)).cast("int")
+    ready = count(ready) if with_tokens else ready
     out = ready.withColumn(f"{pre}reads", reads).filter(col("reads") > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), col("reads") - 1)))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(source_col).cast("string").alias("mix_source"), F.col(tok).alias("mix_tokens"), col("weight").alias("mix_weight"), "mix_epoch", F.xxhash64(F.lit(seed + 3), F.col("mix_epoch"), F.col(src), F.col(block)).alias("mix_block"), F.xxhash64(F.lit(seed + 4), F.col("mix_epoch"), F.col(key)).alias("mix_key"))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(source_col).cast("string").alias("mix_source"), *([F.col(tok).alias("mix_tokens")] if with_tokens else []), col("weight").alias("mix_weight"), "mix_epoch", F.xxhash64(F.lit(seed + 3), F.col("mix_epoch"), F.col(src), F.col(block)).alias("mix_block"), F.xxhash64(F.lit(seed + 4), F.col("mix_epoch"), F.col(key)).alias("mix_key"))
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The mixture's order: doc_id, source, tokens (estimated, unless ``tokens_col`` names counts), weight, epoch, block, key, sorted by (block, key); see ``mix``."""
+    """The mixture's order: doc_id, source, tokens (exact, or those of ``tokens_col``), weight, epoch, block, key, sorted by (block, key); see ``mix``."""
     mixed = mix(docs, **options)
     out = mixed.select(F.col(options.get("id_col", "doc_id")).alias("doc_id"), F.col("mix_source").alias("source"), F.col("mix_tokens").alias("tokens"), F.col("mix_weight").alias("weight"), F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"), F.col("mix_key").alias("key"))
     return out.orderBy("block", "key", "doc_id")

@@ -59,6 +59,45 @@ def test_mixing_goes_by_tokens_of_every_script(spark):
     assert fit_tokens(docs.limit(0)) == (QUARTER, [])
 
 
+def test_tokens_are_counted_without_python(spark):
+    """Exact counts of odd texts, pieces and runs of white space, from a dictionary that holds some of the chunks and from one that holds hardly any."""
+    from tokenizers import Tokenizer
+
+    from codequarry.llm import bpe
+    from codequarry.llm.tokens import tokenizer_path
+
+    rng = random.Random(5)
+    bits = [" ", "  ", "   ", "\n", " \n", "\n ", "\t", "\u00a0", "\u3000", "\u2003", "\x1c", "\x85", "<|endoftext|>", "<|", "|>", "a", "the", "The", "don't", "we'll", "I'VE", "'", "42", "0123456789", "straße", "дом", "東京", "👍🏽", "é", "½", "Ⅷ", "!", "...", "=====", "\x00", "\u200b", "ab" * 30, "क्ष", "f(x)"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(25))) for _ in range(600)]
+    texts += ["".join(chr(rng.choice([rng.randrange(1, 0x250), rng.randrange(1, 0x3000), rng.randrange(0x3000, 0xD800), rng.randrange(0xE000, 0x20000)])) for _ in range(30)) for _ in range(200)]
+    texts += [None, "", " ", "  ", "\n\n", "a  ", "<|endoftext|>", "  <|endoftext|>  x", "a" * 300, "".join(rng.choices("abcdefgh", k=1000))]
+    library = Tokenizer.from_file(tokenizer_path())
+    want = {k: len(library.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts) if t}
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string")
+    twice = docs.unionByName(docs.filter("k % 3 = 0"))  # rows under one key have one text
+    counted = bpe.Counter(spark).counts(twice, "k")
+    assert {r["k"]: r["n"] for r in counted.collect()} == want
+    before, bpe.KNOWN = bpe.KNOWN, 4
+    try:
+        assert {r["k"]: r["n"] for r in bpe.Counter(spark).counts(docs, "k").collect()} == want
+    finally:
+        bpe.KNOWN = before
+    assert bpe.Counter(spark).counts(docs.limit(0), "k").collect() == []
+
+
+def test_mixtures_tokens_are_exact(spark):
+    """Of all documents, in op5's query; an estimate from passages is off by some percent."""
+    from tokenizers import Tokenizer
+
+    from codequarry.llm.queries import QUERIES
+    from codequarry.llm.tokens import tokenizer_path
+
+    library = Tokenizer.from_file(tokenizer_path())
+    want = {r["doc_id"]: len(library.encode(r["text"] or "", add_special_tokens=False).ids) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = QUERIES["op5_temperature_mixing"](spark, SF).collect()
+    assert {(r["doc_id"], r["tokens"]) for r in got} == set(want.items())
+
+
 def test_secrets_of_every_shape_are_candidates(spark):
     from codequarry.llm.secrets import candidates, example_findings, learn_words, scan, train
 
