@@ -71,11 +71,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture of sources to their weights: every document once or more, a row for each reading.
 
-    Shares go by ``mixing.token_estimate``, as tokenizers have no SQL. A null
+    Shares go by the tokenizer's exact counts of all whole texts. A null
     source is a source of its own. Null and empty texts have no tokens and are
     read once. Rows alike in id and text are read equally often.
     """
-    return mix(docs.select(*COLUMNS)).select(*COLUMNS)
+    return mix(docs.select(*COLUMNS), with_tokens=False).select(*COLUMNS)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,6 +98,26 @@ def test_mixtures_tokens_are_exact(spark):
     assert {(r["doc_id"], r["tokens"]) for r in got} == set(want.items())
 
 
+def test_pipelines_budgets_are_of_exact_tokens(spark):
+    """Each source of the mixing stage is read for its budget of the tokenizer's tokens, and beyond it by less than a document."""
+    from tokenizers import Tokenizer
+
+    from codequarry.llm.mixing import plan
+    from codequarry.llm.tokens import tokenizer_path
+
+    library = Tokenizer.from_file(tokenizer_path())
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["source"], len(library.encode(r["text"] or "", add_special_tokens=False).ids)) for r in docs.collect()]
+    counted = spark.createDataFrame([r[1:] for r in rows], "source string, n long")
+    budget = {r["mix_source"]: r["budget"] for r in plan(counted, counted["n"]).collect()}
+    tokens, most, read = {d: n for d, _, n in rows}, {}, {}
+    for _, s, n in rows:
+        most[s] = max(most.get(s, 0), n)
+    for r in corpus_pipeline.mixing(spark, docs, SF).collect():
+        read[r["source"]] = read.get(r["source"], 0) + tokens[r["doc_id"]]
+    assert all(budget[s] - 1 <= read[s] < budget[s] + most[s] for s in budget), (read, budget)
+
+
 def test_secrets_of_every_shape_are_candidates(spark):
     from codequarry.llm.secrets import candidates, example_findings, learn_words, scan, train
 
