@@ -29,9 +29,9 @@ def bounded_batches(spark: SparkSession, size: str = "2m", rows: int = 512) -> N
             spark.conf.set(name, value)
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
+def stored(df: DataFrame, path: str, compression: str | None = None) -> DataFrame:
     """Write a table and read it again, which cuts its lineage and survives lost executors."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import bounded_batches, partitions, scratch, stored
+from .common import bounded_batches, dropped, partitions, scratch, stored
 from .tokens import Encoder, tokenizer_path
 
 SHARD_TOKENS = 1 << 20
@@ -196,11 +196,13 @@ def _shard_row(part: int, shard: int, start: int, ids: np.ndarray, doc_ids: list
     return {"part": part, "shard": shard, "start_in_part": start, "n_tokens": len(ids), "vocabulary": vocabulary, "width": width, "symbols": _packed(symbols, width), "rules": _packed(rules, width), "expansions": lengths.tobytes(), "doc_ids": doc_ids, "doc_tokens": tokens.tolist(), "doc_symbols": sizes.tolist()}
 
 
-_ENCODED = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("vocabulary", pa.int32()), ("ids", pa.binary())])
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("vocabulary", pa.int32()), ("times", pa.int32()), ("ids", pa.binary())])
+#: Documents that are looked at together at most when rows are repeated again.
+_REPEATED = 1 << 16
 
 
 def _encoder(path: str, end_id: int):
-    """(doc_id, mark, text) to (doc_id, mark, vocabulary, ids with the end, of 2 bytes each where the vocabulary allows it, else 4). Texts that repeat in a batch, as readings of a mixture do, are encoded once."""
+    """(doc_id, mark, text) to (doc_id, mark, vocabulary, times, ids with the end, of 2 bytes each where the vocabulary allows it, else 4). Texts that repeat in a batch are encoded once, and rows alike in id and text, as readings of a mixture are, become one with their number."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.enter("tokens")
@@ -210,23 +212,36 @@ def _encoder(path: str, end_id: int):
         with np.errstate(over="ignore"):
             for batch in batches:
                 texts = batch.column(2).dictionary_encode()
-                places, at, rows = texts.indices.to_numpy(), 0, np.argsort(texts.indices.to_numpy(), kind="stable")
+                places, no_id, doc_ids = texts.indices.to_numpy(), batch.column(0).is_null().to_numpy(False), batch.column(0).fill_null(0).to_numpy()
+                order = np.lexsort((doc_ids, no_id, places))
+                changes = [np.diff(x[order]) != 0 for x in (places, no_id.astype(np.int8), doc_ids)]
+                begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), changes[0] | changes[1] | changes[2]]))
+                at, rows, times = 0, order[begins], np.diff(begins, append=len(order)).astype(np.int32)
                 for first, end, ids, counts in encoder.column(texts.dictionary):
                     ends = np.cumsum(counts)
                     whole = np.insert(ids, ends, end_id).astype(kind)
                     bounds = np.concatenate([[0], np.cumsum(counts + 1)]) * size
                     slices = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(whole)])
                     upto = int(np.searchsorted(places[rows], end, "left"))
-                    some = rows[at:upto]
+                    some, number = rows[at:upto], times[at:upto]
                     at = upto
                     out = slices.take(pa.array(places[some] - first)).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some)), pa.array(np.full(len(some), encoder.vocabulary), pa.int32()), out], schema=_ENCODED)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some)), pa.array(np.full(len(some), encoder.vocabulary), pa.int32()), pa.array(number), out], schema=_ENCODED)
 
     return encode
 
 
+def _again(times: np.ndarray) -> Iterator[np.ndarray]:
+    """The numbers of rows, each as often as it is to be repeated; ``times`` are running totals. In parts of ``_REPEATED`` at most, or of one row."""
+    at, before = 0, 0
+    while at < len(times):
+        end = max(at + 1, int(np.searchsorted(times, before + _REPEATED, "right")))
+        yield np.repeat(np.arange(at, end), np.diff(times[at:end], prepend=before))
+        at, before = end, int(times[end - 1])
+
+
 def _compressor(shard_tokens: int):
-    """Rows of ``_ENCODED`` in order to shards."""
+    """Rows of ``_ENCODED`` in order to shards, each document as many times as it was there."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -247,18 +262,20 @@ def _compressor(shard_tokens: int):
                     continue
                 vocabulary = batch.column(2)[0].as_py()
                 size = 2 if vocabulary <= 1 << 16 else 4
-                column = batch.column(3).cast(pa.large_binary())
+                column, times = batch.column(4).cast(pa.large_binary()), np.cumsum(batch.column(3).to_numpy())
                 bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-                ids, ends = np.frombuffer(column.buffers()[2], f"<u{size}"), bounds // size
-                at = 0
-                while at < len(column):  # documents up to the one that fills the shard
-                    end = min(len(column), int(np.searchsorted(ends, ends[at] + shard_tokens - waiting, "left")))
-                    held.append((batch.column(0).slice(at, end - at).to_pylist(), ids[ends[at] : ends[end]].copy(), np.diff(ends[at : end + 1])))
-                    waiting += int(ends[end] - ends[at])
-                    at = end
-                    if waiting >= shard_tokens:
-                        yield row()
-                        shard, start, waiting = shard + 1, start + waiting, 0
+                ids, bounds, doc_ids = np.frombuffer(column.buffers()[2], f"<u{size}"), bounds // size, batch.column(0).to_pylist()
+                for which in _again(times):
+                    ends = np.concatenate([[0], np.cumsum(np.diff(bounds)[which])])
+                    at = 0
+                    while at < len(which):  # documents up to the one that fills the shard
+                        end = min(len(which), int(np.searchsorted(ends, ends[at] + shard_tokens - waiting, "left")))
+                        held.append(([doc_ids[k] for k in which[at:end]], np.concatenate([ids[bounds[k] : bounds[k + 1]] for k in which[at:end]]), np.diff(ends[at : end + 1])))
+                        waiting += int(ends[end] - ends[at])
+                        at = end
+                        if waiting >= shard_tokens:
+                            yield row()
+                            shard, start, waiting = shard + 1, start + waiting, 0
             if held:
                 yield row()
 
@@ -273,16 +290,19 @@ def write_tokens(docs: DataFrame, target: str, path: str | None = None, end_id:
     ignored. An empty table gives an empty table of shards. Texts are encoded
     where they lie; only the ids are dealt to tasks, by ranges of (id, hash of
     the text), so that neither a hot id nor the lack of ids puts many into one
-    task.
+    task. Until they are in shards, the ids of rows alike in id and text that
+    lie together are kept once.
     """
     path = path or tokenizer_path()
     spark = docs.sparkSession
     bounded_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    encoded = stored(rows.mapInArrow(_encoder(path, end_id), "doc_id long, mark long, vocabulary int, ids binary"), f"{scratch(spark)}/encoded")
+    held = f"{scratch(spark)}/encoded"
+    encoded = stored(rows.mapInArrow(_encoder(path, end_id), "doc_id long, mark long, vocabulary int, times int, ids binary"), held, "zstd")
     ordered = encoded.repartitionByRange(partitions(spark), "doc_id", "mark").sortWithinPartitions("doc_id", "mark")
     ordered.mapInArrow(_compressor(shard_tokens), SHARD_SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(target)
+    dropped(spark, held)
 
 
 def _shards(spark, target: str) -> DataFrame:

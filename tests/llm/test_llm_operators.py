@@ -83,6 +83,25 @@ def test_token_files(spark, texts, tmp_path):
     assert token_files(docs.limit(0)).collect() == []
 
 
+def test_repeated_rows_are_kept_once(spark, tmp_path, monkeypatch):
+    """Readings of a mixture: rows alike in id and text are one row with their number until they are in shards."""
+    from codequarry.llm import repair
+    from codequarry.llm.common import stored as repair_stored
+
+    held = []
+    monkeypatch.setattr(repair, "stored", lambda df, path, *more: held.append(repair_stored(df, path, *more).collect()) or repair_stored(df, path, *more))
+    monkeypatch.setattr(repair, "_REPEATED", 5)
+    rows = [(d, t) for d, t, n in [(None, "a b", 3), (None, None, 2), (0, "a b", 1), (0, None, 4), (7, "long " * 90, 30), (8, "", 2), (7, "other", 2), (-1, "end", 9)] for _ in range(n)]
+    docs = table(spark, rows, "doc_id long, text string").coalesce(1)
+    repair.write_tokens(docs, str(tmp_path / "t"), shard_tokens=200)
+    got = sorted(repair.read_tokens(spark, str(tmp_path / "t"), keep_ids=True).collect(), key=lambda r: r["start"])
+    lib = library()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["ids"]) for r in got) == sorted((d is not None, d or 0, [*lib.encode(t or "", add_special_tokens=False).ids, 2]) for d, t in rows)
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
+    assert [r["doc_id"] is not None for r in got] == sorted(r["doc_id"] is not None for r in got)
+    assert len(held[0]) == 8 and sum(r["times"] for r in held[0]) == len(rows)
+
+
 def plain_pairs(symbols, ends):
     """How often each pair occurs in a document, without overlaps."""
     count, first = {}, 0
