@@ -11,7 +11,7 @@ gathered, never a count. The work for a piece grows with the square of its lengt
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -84,10 +84,12 @@ def chunks(docs: DataFrame, carry: list[str], added: list[str], text_col: str =
     """carry, first (whether it is the text's first), chunk: all chunks of every text that is not empty, in no order."""
     held = "|".join(map(_quoted, added)) or r"(?!)"
     # At single blanks, which is fast, unless a run of white space has a blank that is neither its first nor its last character, or stands before an added token.
-    odd = rf"(?U) (?<=\s )(?:\s|\z)|\s(?={held})"
+    odd = F.col("_text").rlike(r"(?U)\s (?:\s|\z)")
+    if added:
+        odd |= reduce(Column.__or__, (F.contains("_text", F.lit(t)) for t in added)) & F.col("_text").rlike(rf"(?U)\s(?={held})")
     slow = rf"(?U)\s+(?={held})| ?\S+|\s+(?!\S)|\s+"
     text = F.col(text_col)
-    rows = docs.select(*carry, text.cast("string").alias("_text")).filter(F.length("_text") > 0).withColumn("_odd", F.col("_text").rlike(odd))
+    rows = docs.select(*carry, text.cast("string").alias("_text")).filter(F.length("_text") > 0).withColumn("_odd", odd)
     parts = F.when(F.col("_odd"), F.regexp_extract_all("_text", F.lit(slow), F.lit(0))).otherwise(F.split("_text", " "))
     cut = rows.select(*carry, "_odd", F.posexplode(parts).alias("_at", "_part"))
     first = F.col("_at") == 0
@@ -214,10 +216,14 @@ class Counter:
         held = "|".join(map(_quoted, self.added)) or r"(?!)"
         cut = rf"(?U){held}|'(?:[stmd]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?(?:(?!{held})[^\s\p{{L}}\p{{N}}])+|\s+(?={held})|\s+(?!\S)|\s+"
         began = self.steps
-        parts = distinct.select("chunk", F.explode(F.regexp_extract_all("chunk", F.lit(cut), F.lit(0))).alias("_piece"))
-        parts = self._kept(parts.select("chunk", _latin(F.col("_piece")).alias("bytes")))
+        # A piece of one byte is one token, so a chunk's other pieces are enough to look up, or one piece where there are no others.
+        parts = distinct.select("chunk", F.regexp_extract_all("chunk", F.lit(cut), F.lit(0)).alias("_all"))
+        parts = parts.select("chunk", "_all", F.filter("_all", lambda x: F.octet_length(x) > 1).alias("_long"))
+        parts = parts.select("chunk", F.size("_all").alias("_n"), F.when(F.size("_long") > 0, F.col("_long")).otherwise(F.slice("_all", 1, 1)).alias("_sought"))
+        parts = parts.select("chunk", (F.col("_n") - F.size("_sought")).alias("_more"), F.posexplode("_sought").alias("_at", "_piece"))
+        parts = self._kept(parts.select("chunk", F.when(F.col("_at") == 0, F.col("_more")).otherwise(0).alias("more"), _latin(F.col("_piece")).alias("bytes")))
         counted = self._kept(self.pieces(self._kept(parts.select("bytes").distinct())))
-        out = self._kept(parts.join(counted.hint("shuffle_hash"), "bytes").groupBy("chunk").agg(F.sum("n").alias("n")))
+        out = self._kept(parts.join(counted.hint("shuffle_hash"), "bytes").groupBy("chunk").agg(F.sum(F.col("n") + F.col("more")).alias("n")))
         self._drop(began)
         return out
 

@@ -85,6 +85,29 @@ def test_tokens_are_counted_without_python(spark):
     assert bpe.Counter(spark).counts(docs.limit(0), "k").collect() == []
 
 
+def test_pieces_of_one_byte_are_not_looked_up(spark):
+    """They are one token each, so only a chunk's other pieces are stored to be joined; counts are the library's all the same."""
+    from tokenizers import Tokenizer
+
+    from codequarry.llm import bpe
+    from codequarry.llm.tokens import tokenizer_path
+
+    class Counter(bpe.Counter):
+        def _kept(self, df):
+            out = super()._kept(df)
+            if {"chunk", "bytes"} <= set(df.columns):
+                seen.extend((r["chunk"], r["bytes"]) for r in out.collect())
+            return out
+
+    seen = []
+    library = Tokenizer.from_file(tokenizer_path())
+    texts = [" qzxv.\nVqzx#", "\n", ".", "#\n", " 7", "\né", "x.<|endoftext|>.x", "''s'"]
+    want = {t: len(library.encode(t, add_special_tokens=False).ids) for t in texts}
+    got = Counter(spark).of_chunks(spark.createDataFrame([(t,) for t in texts], "chunk string"))
+    assert {r["chunk"]: r["n"] for r in got.collect()} == want
+    assert sorted(b for c, b in seen if c == texts[0]) == [" qzxv", "Vqzx"] and {c for c, _ in seen} == set(texts)
+
+
 def test_mixtures_tokens_are_exact(spark):
     """Of all documents, in op5's query; an estimate from passages is off by some percent."""
     from tokenizers import Tokenizer
