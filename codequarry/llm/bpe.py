@@ -220,7 +220,7 @@ class Counter:
         parts = distinct.select("chunk", F.regexp_extract_all("chunk", F.lit(cut), F.lit(0)).alias("_all"))
         parts = parts.select("chunk", "_all", F.filter("_all", lambda x: F.octet_length(x) > 1).alias("_long"))
         parts = parts.select("chunk", F.size("_all").alias("_n"), F.when(F.size("_long") > 0, F.col("_long")).otherwise(F.slice("_all", 1, 1)).alias("_sought"))
-        parts = parts.select("chunk", (F.col("_n") - F.size("_sought")).alias("_more"), F.posexplode("_sought").alias("_at", "_piece"))
+        parts = parts.select("chunk", (F.col("_n") - F.size("_sought")).alias("_more"), F.posexplode_outer("_sought").alias("_at", "_piece")).filter("_piece is not null")  # without outer, the optimizer cuts all chunks before they are made distinct
         parts = self._kept(parts.select("chunk", F.when(F.col("_at") == 0, F.col("_more")).otherwise(0).alias("more"), _latin(F.col("_piece")).alias("bytes")))
         counted = self._kept(self.pieces(self._kept(parts.select("bytes").distinct())))
         out = self._kept(parts.join(counted.hint("shuffle_hash"), "bytes").groupBy("chunk").agg(F.sum(F.col("n") + F.col("more")).alias("n")))
